@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import mixing, near_dup, neighbours, packing, quality, secrets, sharding, token_counts, url_filter
+from skarn.llm import mixing, near_dup, neighbours, packing, quality, secrets, sharding, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": token_counts.query,
     "op6_near_duplicates": near_dup.query,
     "op7_hilbert_shards": sharding.query,
+    "op8_toxicity": toxicity.query,
     "op9_nearest": neighbours.query,
     "op10_best_fit_packing": packing.query,
 }
