@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from skarn.plans import governance, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**governance.QUERIES, **retrieval.QUERIES}
+ORACLE_SQL: dict[str, str] = {**governance.ORACLE_SQL, **retrieval.ORACLE_SQL}
