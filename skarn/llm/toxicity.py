@@ -9,7 +9,7 @@ gapped and inserted-character spellings stay close to the plain one.
 Training: sentences of at most MAX_DOCS labelled documents carry their document's label. A sentence
 that several documents share counts for one of them. A unit is a witness if the share of toxic ones
 among the documents of its sentences is significantly above the base rate (binomial tail, corrected
-for the number of units). Witnesses with gapped and inserted-character
+by Tarone's method for the number of units that can be significant). Witnesses with gapped and inserted-character
 variants against the units of clean sentences, the hardest of which are mined by a first model, train
 a linear SVM (squared hinge) on Nyström features of LANDMARKS. A document's score is the sum of the positive scores of its distinct units, since a
 clean word may look like an insult once but not often; the least sum of a toxic document is the one
@@ -27,7 +27,6 @@ repeated rows are reported each; other columns aren't read; an empty table gives
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -250,6 +249,19 @@ def _tail(t: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     return np.where(q > p, np.exp(-n * kl), 1.0)
 
 
+def _testable(units_of: dict[int, int], rate: float) -> tuple[int, int]:
+    """(fewest documents, units of at least as many) by Tarone's correction.
+
+    A unit of n documents can't be more significant than rate ** n; those that can't be significant
+    at all aren't hypotheses and don't count in the correction of the others.
+    """
+    k, left = 1, sum(units_of.values())
+    while left and left * rate**k >= SIGNIFICANCE:
+        left -= units_of.get(k, 0)
+        k += 1
+    return k, left
+
+
 def _threshold(sums: np.ndarray, toxic: np.ndarray) -> float:
     """The least sum that makes fewest errors on the labelled documents, a clean one flagged counting twice."""
     order = np.argsort(-sums, kind="stable")
@@ -271,14 +283,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_unit
     every = rows.mapInArrow(_labelled_sentences, "sid long, unit string, toxic int, doc long").groupBy("sid", "unit").agg(F.min(F.struct("doc", "toxic")).alias("s"))
     every = store(every.groupBy("unit", F.col("s.doc").alias("doc")).agg(F.max("s.toxic").alias("toxic")), "toxic-pairs")
     counts = store(every.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "toxic-units")
-    total, units_ = sample.agg(F.sum("__toxic").alias("t"), F.count(F.lit(1)).alias("n")).first(), counts.count()
-    if not units_ or not total["t"] or total["t"] == total["n"]:
+    total = sample.agg(F.sum("__toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    if not total["t"] or total["t"] == total["n"]:
         return None
     rate = total["t"] / total["n"]
-    # Chernoff's bound at share 1 is rate ** t: fewer documents can't be significant.
-    least = max(3, math.ceil(math.log(SIGNIFICANCE / units_) / math.log(rate)))
-    some = counts.filter((F.col("t") >= least) & (F.col("t") > 0.5 * F.col("n"))).toPandas()
-    some = some[_tail(some["t"].to_numpy(float), some["n"].to_numpy(float), rate) * units_ < SIGNIFICANCE].sort_values(["t", "unit"], ascending=[False, True])
+    least, tested = _testable({r["n"]: r["units"] for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("units")).collect()}, rate)  # max_docs bounds it
+    some = counts.filter((F.col("n") >= least) & (F.col("t") > 0.5 * F.col("n"))).toPandas()
+    some = some[_tail(some["t"].to_numpy(float), some["n"].to_numpy(float), rate) * tested < SIGNIFICANCE].sort_values(["t", "unit"], ascending=[False, True])
     if not len(some):
         return None
     usual = counts.filter("t <= 0.5 * n").select("unit")
