@@ -18,18 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dual_source(spark: SparkSession, d: str) -> DataFrame:
-    """orders without and with some keys as two feeds of customer and day."""
-    o = read(spark, d, "orders")
+    """orders placed and lines shipped as two feeds of status and day."""
     since = F.lit("1996-01-01").cast("timestamp")
-    left = checks.daily_counts(o.filter("o_orderkey % 7 <> 0"), "o_custkey", "o_orderdate", since)
-    right = checks.daily_counts(o.filter("o_orderkey % 5 <> 0"), "o_custkey", "o_orderdate", since)
-    return checks.deviations(left, right, 10.0)
+    left = checks.daily_counts(read(spark, d, "orders"), "o_orderstatus", "o_orderdate", since)
+    right = checks.daily_counts(read(spark, d, "lineitem"), "l_linestatus", "l_shipdate", since)
+    return checks.deviations(left, right, 60.0)
 
 
 def dual_source_coverage(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders")
-    left, right = o.filter("o_orderkey % 7 <> 0").select(F.col("o_custkey").alias("key")), o.filter("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("key"))
-    return checks.coverage(left, right)
+    """Customers with urgent orders among all customers."""
+    left = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"))
+    return checks.coverage(left, read(spark, d, "customer").select(F.col("c_custkey").alias("key")))
 
 
 TARGETS = [("click", "36h"), ("error", "2h"), ("login", "40d"), ("purchase", "24 h"), ("signup", "1d"), ("view", "12h"), ("absent", "2h")]
@@ -81,8 +80,8 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
     return checks.incomplete(read(spark, d, "customer"), present, ["c_custkey"])
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string").alias("table"))
+def _stats(spark: SparkSession, d: str, lines: str = "true") -> DataFrame:
+    rows = read(spark, d, "lineitem").filter(lines).groupBy("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string").alias("table"))
     return rows.agg(F.count(F.lit(1)).alias("row_estimate"), F.sum(F.col("l_quantity").cast("long") * 1024).alias("total_bytes")).withColumnsRenamed({"l_returnflag": "system", "l_linestatus": "database"})
 
 
@@ -100,8 +99,8 @@ def top_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def volume_growth(spark: SparkSession, d: str) -> DataFrame:
-    s = _stats(spark, d)
-    return inventory.growth(s.filter("table % 7 <> 0"), s.filter("table % 5 <> 0").withColumn("total_bytes", F.col("total_bytes") + 10))
+    """Volumes of what was shipped before two dates, and only discounted lines later."""
+    return inventory.growth(_stats(spark, d, "l_shipdate < timestamp '1996-01-01'"), _stats(spark, d, "l_shipdate < timestamp '1998-01-01' AND l_returnflag <> 'R'"))
 
 
 TEMPLATES = ["brand://Brand#{1-3}1", "brand://Brand#{dd}", "brand://Brand#5", "name://ghost_{AAAA}_{MM}", "brand://Brand_{AAAA}"]
@@ -127,13 +126,10 @@ def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def register_diff(spark: SparkSession, d: str) -> DataFrame:
-    """nations of suppliers as the inventory, of customers as the declaration."""
-    n = read(spark, d, "nation")
-    s = read(spark, d, "supplier").filter("s_suppkey % 3 = 0").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
-    status = F.when(F.col("n_nationkey") % 4 == 0, "mort").otherwise("actif")
-    inv = s.select(F.col("n_name").alias("name"), status.alias("status"), (F.col("n_nationkey") % 2 == 0).alias("flagged"))
-    dec = read(spark, d, "customer").filter("c_custkey % 11 = 0").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
-    return checks.register_gaps(inv, dec)
+    """customers as the inventory, flagged if in debt; those with urgent orders as the declaration."""
+    status = F.when(F.col("c_mktsegment") == "MACHINERY", "mort").otherwise("actif")
+    inv = read(spark, d, "customer").select(F.col("c_custkey").alias("name"), status.alias("status"), (F.col("c_acctbal") < 0).alias("flagged"))
+    return checks.register_gaps(inv, read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("name")))
 
 
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -148,15 +144,15 @@ DECLARED = [("orders", "o_orderkey", "BIGINT(20)"), ("orders", "o_totalprice", "
 
 
 def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
-    """documents against an index of most of them, in which some texts were others."""
+    """documents against an index that knows the shorter ones, in which some texts were others."""
     from skarn.operators.retrieval import changes
 
     docs = read(spark, d, "documents")
     key = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
-    walked = docs.filter("doc_id % 9 <> 0").select(key.alias("key"), F.col("source").alias("repo"), C.content_hash("text").alias("sha"))
+    walked = docs.filter("n_chars >= 200").select(key.alias("key"), F.col("source").alias("repo"), C.content_hash("text").alias("sha"))
     old = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
     ver = F.when(F.col("doc_id") % 13 == 5, "v1").otherwise("v2")
-    indexed = docs.filter("doc_id % 8 <> 0").select(key.alias("key"), F.col("source").alias("repo"), C.content_hash(old).alias("sha"), ver.alias("embed_ver"))
+    indexed = docs.filter("n_chars < 5000").select(key.alias("key"), F.col("source").alias("repo"), C.content_hash(old).alias("sha"), ver.alias("embed_ver"))
     todo, drop = changes(walked, indexed, "v2")
     return todo.select(F.lit("index").alias("action"), "key").unionByName(drop.select(F.lit("delete").alias("action"), "key"))
 
@@ -240,8 +236,8 @@ def as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def priority_fallback(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return climate.prefer(o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"])
+    o = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return climate.prefer(o.filter("o_orderstatus = 'F'"), o.withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"])
 
 
 def shard_expansion(spark: SparkSession, d: str) -> DataFrame:
@@ -252,8 +248,9 @@ def shard_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_ops(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
-    c = read(spark, d, "customer").filter("c_custkey % 11 = 0").select(F.col("c_nationkey").alias("k"))
+    """days with urgent orders and days with pending ones."""
+    o = read(spark, d, "orders").withColumn("k", F.to_date("o_orderdate"))
+    s, c = o.filter("o_orderpriority = '1-URGENT'").select("k"), o.filter("o_orderstatus = 'P'").select("k")
     parts = {"only_left": s.distinct().exceptAll(c.distinct()), "only_right": c.distinct().exceptAll(s.distinct()), "both": s.intersect(c), "any": s.union(c).distinct()}
     out = None
     for op, df in parts.items():
@@ -297,8 +294,8 @@ QUERIES = {
     "A26_register_cube": register_cube, "P41_recent_feed": recent_feed,
 }
 
-_DAILY = "SELECT o_custkey AS key, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderkey % {} <> 0 GROUP BY ALL"
-_STATS = "SELECT l_returnflag AS system, l_linestatus AS database, CAST(l_suppkey AS VARCHAR) AS tbl, count(*) AS row_estimate, CAST(sum(CAST(trunc(l_quantity) AS BIGINT) * 1024) AS BIGINT) AS total_bytes FROM lineitem GROUP BY ALL"
+_DAILY = "SELECT {1} AS key, CAST({2} AS DATE) AS day, count(*) AS n FROM {0} WHERE {2} >= TIMESTAMP '1996-01-01' GROUP BY ALL"
+_STATS = "SELECT l_returnflag AS system, l_linestatus AS database, CAST(l_suppkey AS VARCHAR) AS tbl, count(*) AS row_estimate, CAST(sum(CAST(trunc(l_quantity) AS BIGINT) * 1024) AS BIGINT) AS total_bytes FROM lineitem WHERE {} GROUP BY ALL"
 _NAMES = "WITH a AS (SELECT 'brand://' || p_brand AS name FROM part UNION SELECT 'name://' || p_name FROM part), r(name, pattern) AS (VALUES {}), hit AS (SELECT a.name AS a, r.name AS r FROM a JOIN r ON regexp_matches(a.name, r.pattern)) "
 _NAMES = _NAMES.format(", ".join(f"('{t}', '{C.template_regex(t)}')" for t in TEMPLATES))
 _LAG = "date_diff('microsecond', newest, TIMESTAMP '2024-01-31') // 1000000"
@@ -307,8 +304,8 @@ _MEAN = "((2 * CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) * 100 AS BIGINT) *
 _EXTREMES = "min({v}) AS tnn, CAST(arg_min(CAST(o_orderdate AS DATE), (o_totalprice, o_orderdate)) AS DATE) AS tnn_date, max({v}) AS txx, CAST(arg_max(CAST(o_orderdate AS DATE), (o_totalprice, -epoch(o_orderdate))) AS DATE) AS txx_date".format(v="o_totalprice")
 
 ORACLE_SQL = {
-    "F01_dual_source_coherence": f"WITH a AS ({_DAILY.format(7)}), b AS ({_DAILY.format(5)}) SELECT key, day, a.n AS left_n, b.n AS right_n, round(100.0 * abs(a.n - b.n) / greatest(a.n, b.n), 4)::DOUBLE AS deviation_pct FROM a JOIN b USING (key, day) WHERE 100.0 * abs(a.n - b.n) / greatest(a.n, b.n) > 10",
-    "F01b_dual_source_coverage": "WITH a AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderkey % 5 <> 0) SELECT count(*) AS right_keys, count(a.key) AS common_keys, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(100.0 * count(a.key)::DOUBLE / count(*), 4) END AS coverage_pct FROM b LEFT JOIN a USING (key)",
+    "F01_dual_source_coherence": f"WITH a AS ({_DAILY.format('orders', 'o_orderstatus', 'o_orderdate')}), b AS ({_DAILY.format('lineitem', 'l_linestatus', 'l_shipdate')}) SELECT key, day, a.n AS left_n, b.n AS right_n, round(100.0 * abs(a.n - b.n) / greatest(a.n, b.n), 4)::DOUBLE AS deviation_pct FROM a JOIN b USING (key, day) WHERE 100.0 * abs(a.n - b.n) / greatest(a.n, b.n) > 60",
+    "F01b_dual_source_coverage": "WITH a AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT c_custkey AS key FROM customer) SELECT count(*) AS right_keys, count(a.key) AS common_keys, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(100.0 * count(a.key)::DOUBLE / count(*), 4) END AS coverage_pct FROM b LEFT JOIN a USING (key)",
     "F02_freshness_by_target": f"""WITH t(event_type, threshold) AS (VALUES {", ".join(map(str, TARGETS))}), m AS (SELECT event_type, max(ts) AS newest FROM events GROUP BY 1),
         j AS (SELECT t.*, newest, {_LAG} AS lag_s, CAST(regexp_extract(threshold, '^([0-9]+)', 1) AS BIGINT) * CASE WHEN threshold LIKE '%h' THEN 3600 ELSE 86400 END AS lim FROM t LEFT JOIN m USING (event_type))
         SELECT event_type, threshold, newest, lag_s, CASE WHEN lag_s < 0 THEN 'ahead' WHEN lag_s >= 86400 THEN (lag_s // 86400) || 'j ' || ((lag_s % 86400) // 3600) || 'h' ELSE (lag_s // 3600) || 'h' || lpad(CAST((lag_s % 3600) // 60 AS VARCHAR), 2, '0') END AS lag,
@@ -321,18 +318,17 @@ ORACLE_SQL = {
     "F05_uniqueness": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "Q11_sentinel_clean": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_discount BETWEEN 0 AND 0.08 AND l_tax BETWEEN 0 AND 0.06 AND l_quantity BETWEEN 1 AND 45 GROUP BY 1",
     "F06_completeness_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')",
-    "F07_volumetry_rollup": f"WITH s AS ({_STATS}) SELECT system, database, CAST(grouping(system, database) AS INTEGER) AS level, count(*) AS tables, CAST(sum(row_estimate) AS BIGINT) AS rows, CAST(sum(total_bytes) AS BIGINT) AS bytes, round(sum(total_bytes)::DOUBLE / 1073741824.0, 2) AS gib FROM s GROUP BY ROLLUP (system, database)",
+    "F07_volumetry_rollup": f"WITH s AS ({_STATS.format('true')}) SELECT system, database, CAST(grouping(system, database) AS INTEGER) AS level, count(*) AS tables, CAST(sum(row_estimate) AS BIGINT) AS rows, CAST(sum(total_bytes) AS BIGINT) AS bytes, round(sum(total_bytes)::DOUBLE / 1073741824.0, 2) AS gib FROM s GROUP BY ROLLUP (system, database)",
     "F08_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
-    "O01_top_tables": f'WITH s AS ({_STATS}) SELECT system, database, tbl AS "table", total_bytes FROM s ORDER BY total_bytes DESC, system, database, tbl LIMIT 20',
-    "J18_growth": f"""WITH s AS ({_STATS}), a AS (SELECT * FROM s WHERE CAST(tbl AS BIGINT) % 7 <> 0), b AS (SELECT system, database, tbl, row_estimate, total_bytes + 10 AS total_bytes FROM s WHERE CAST(tbl AS BIGINT) % 5 <> 0)
+    "O01_top_tables": f'WITH s AS ({_STATS.format("true")}) SELECT system, database, tbl AS "table", total_bytes FROM s ORDER BY total_bytes DESC, system, database, tbl LIMIT 20',
+    "J18_growth": f"""WITH a AS ({_STATS.format("l_shipdate < TIMESTAMP '1996-01-01'")}), b AS ({_STATS.format("l_shipdate < TIMESTAMP '1998-01-01' AND l_returnflag <> 'R'")})
         SELECT system, database, tbl AS "table", CASE WHEN a.total_bytes IS NULL THEN 'new' WHEN b.total_bytes IS NULL THEN 'gone' ELSE 'kept' END AS change, coalesce(b.total_bytes, 0) - coalesce(a.total_bytes, 0) AS bytes, coalesce(b.row_estimate, 0) - coalesce(a.row_estimate, 0) AS rows FROM a FULL JOIN b USING (system, database, tbl)""",
     "F09_reconcile_theta": _NAMES + "SELECT 'matched' AS kind, name FROM a WHERE name IN (SELECT a FROM hit) UNION ALL SELECT 'orphans', name FROM a WHERE name NOT IN (SELECT a FROM hit) UNION ALL SELECT 'ghosts', name FROM r WHERE name NOT IN (SELECT r FROM hit)",
     "A10_reconcile_counts": _NAMES + "SELECT 'matched' AS kind, count(*) AS n FROM a WHERE name IN (SELECT a FROM hit) UNION ALL SELECT 'orphans', count(*) FROM a WHERE name NOT IN (SELECT a FROM hit) UNION ALL SELECT 'ghosts', count(*) FROM r WHERE name NOT IN (SELECT r FROM hit)",
-    "F10_register_diff": """WITH i AS (SELECT n_name AS name, max(n_nationkey % 2 = 0) AS flag, max(n_nationkey % 4 = 0) AS dead FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0 GROUP BY 1),
-        c AS (SELECT DISTINCT n_name AS name, true AS dec FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 = 0),
+    "F10_register_diff": """WITH i AS (SELECT c_custkey AS name, c_acctbal < 0 AS flag, c_mktsegment = 'MACHINERY' AS dead FROM customer), c AS (SELECT DISTINCT o_custkey AS name, true AS dec FROM orders WHERE o_orderpriority = '1-URGENT'),
         j AS (SELECT name, CASE WHEN flag AND dec IS NULL THEN 'missing' WHEN dec AND NOT coalesce(flag, false) THEN CASE WHEN dead THEN 'tolerated' ELSE 'extra' END END AS kind FROM i FULL JOIN c USING (name)) SELECT * FROM j WHERE kind IS NOT NULL""",
-    "F11_incremental_diff": """WITH w AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(text) AS sha FROM documents WHERE doc_id % 9 <> 0),
-        x AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(CASE WHEN doc_id % 10 = 3 THEN text || 'x' ELSE text END) AS sha, CASE WHEN doc_id % 13 = 5 THEN 'v1' ELSE 'v2' END AS ver FROM documents WHERE doc_id % 8 <> 0),
+    "F11_incremental_diff": """WITH w AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(text) AS sha FROM documents WHERE n_chars >= 200),
+        x AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(CASE WHEN doc_id % 10 = 3 THEN text || 'x' ELSE text END) AS sha, CASE WHEN doc_id % 13 = 5 THEN 'v1' ELSE 'v2' END AS ver FROM documents WHERE n_chars < 5000),
         t AS (SELECT w.key, x.key IS NOT NULL AS old FROM w LEFT JOIN x USING (key) WHERE w.sha IS DISTINCT FROM x.sha OR ver IS DISTINCT FROM 'v2')
         SELECT 'index' AS action, key FROM t UNION ALL SELECT 'delete', key FROM t WHERE old UNION ALL SELECT 'delete', key FROM x WHERE key NOT IN (SELECT key FROM w) AND repo IN (SELECT repo FROM w)""",
     "F12_lineage_enrich": "SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS job_name, CASE WHEN event_id % 2 = 0 THEN 'own' || user_id ELSE CASE event_type WHEN 'click' THEN 'raw' WHEN 'purchase' THEN 'cart' ELSE '' END END AS inputs, CASE event_type WHEN 'click' THEN 'c1,c2' WHEN 'purchase' THEN 'sales' WHEN 'view' THEN 'pages' ELSE '' END AS outputs FROM events",
@@ -350,9 +346,9 @@ ORACLE_SQL = {
     "F17_temporal_validity_join": """WITH h AS (SELECT p AS pr, y, make_timestamp(y, 1, 1, 0, 0, 0) AS a, CASE WHEN y < 2000 THEN make_timestamp(y, 12, 30, 0, 0, 0) END AS b FROM (SELECT DISTINCT o_orderpriority AS p FROM orders), (SELECT unnest(range(1995, 2001)) AS y) WHERE NOT (p = '5-LOW' AND y = 1997))
         SELECT o_orderkey, CAST(y AS INTEGER) AS version FROM orders LEFT JOIN h ON o_orderpriority = pr AND o_orderdate >= a AND (b IS NULL OR o_orderdate <= b)""",
     "J14_as_of": "WITH u AS (SELECT o_orderstatus AS s, o_orderdate AS t, max(o_totalprice) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL) SELECT o_orderkey, urgent FROM orders ASOF LEFT JOIN u ON o_orderstatus = s AND o_orderdate >= t",
-    "F18_priority_fallback": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE 0.0 END AS o_totalprice, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS priority FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "F18_priority_fallback": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0.0 END AS o_totalprice, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS INTEGER) AS priority FROM orders",
     "F19_shard_expansion": "SELECT 'orders_' || strftime(m, '%Y_%m') AS shard, count(*) AS n FROM (SELECT unnest(generate_series(date_trunc('month', o_orderdate), date_trunc('month', CAST(o_orderdate AS DATE) + 40), INTERVAL 1 MONTH)) AS m FROM orders) GROUP BY 1",
-    "F30_set_ops": """WITH s AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0), c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 11 = 0)
+    "F30_set_ops": """WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS k FROM orders WHERE o_orderpriority = '1-URGENT'), c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS k FROM orders WHERE o_orderstatus = 'P')
         SELECT 'only_left' AS op, k FROM (SELECT k FROM s EXCEPT SELECT k FROM c) UNION ALL SELECT 'only_right', k FROM (SELECT k FROM c EXCEPT SELECT k FROM s) UNION ALL SELECT 'both', k FROM (SELECT k FROM s INTERSECT SELECT k FROM c) UNION ALL SELECT 'any', k FROM (SELECT k FROM s UNION SELECT k FROM c)""",
     "F31_tumbling": "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "F31b_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, s",

@@ -111,7 +111,7 @@ def cascade(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
     calls = read(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("call"), F.col("l_partkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).select("call", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     calls = calls.groupBy("name", "brand").agg(F.min("call").alias("call"))
-    defs = p.filter("p_partkey % 5 = 0").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    defs = p.filter("p_size > 25").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     local = defs.groupBy("name", "brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("dst")).filter("n = 1")
     blocked = defs.groupBy("name").count().filter("count > 9").select("name")
     every = defs.withColumn("homonyms", F.count(F.lit(1)).over(graph.Window.partitionBy("name"))).select("name", "homonyms", F.col("p_partkey").alias("dst"))
@@ -171,7 +171,7 @@ ORACLE_SQL = {
         l2 AS (SELECT id, min(depth) AS depth, max(path) AS path FROM (SELECT * FROM l1 UNION ALL SELECT b.b, 2, least(path, conf) FROM l1 JOIN b ON id = a WHERE depth = 1) GROUP BY id) SELECT id, CAST(depth AS INTEGER) AS depth, path AS conf FROM l2 WHERE depth > 0""",
     "F28_pagerank": _pagerank_sql(),
     "A16_build_stats": f"WITH {_RAW}, {_NODES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT id) FROM nodes) AS fqns, count(*) AS edges, count(*) FILTER (conf >= 0.7) AS strong FROM raw",
-    "F29_cascade_resolution": """WITH calls AS (SELECT p_name AS name, p_brand AS brand, min(l_orderkey) AS call FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY ALL), defs AS (SELECT p_partkey AS dst, p_name AS name, p_brand AS brand FROM part WHERE p_partkey % 5 = 0),
+    "F29_cascade_resolution": """WITH calls AS (SELECT p_name AS name, p_brand AS brand, min(l_orderkey) AS call FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY ALL), defs AS (SELECT p_partkey AS dst, p_name AS name, p_brand AS brand FROM part WHERE p_size > 25),
         one AS (SELECT name, brand, min(dst) AS dst FROM defs GROUP BY ALL HAVING count(*) = 1), hom AS (SELECT *, count(*) OVER (PARTITION BY name) AS h FROM defs),
         f AS (SELECT call, dst, 6 AS step, 0.9::DOUBLE AS conf FROM calls JOIN one USING (name, brand) UNION ALL SELECT call, dst, CASE WHEN h = 1 THEN 8 ELSE 9 END, CASE WHEN h = 1 THEN 0.75 ELSE 0.35 END::DOUBLE FROM calls JOIN hom ON calls.name = hom.name WHERE h <= 9)
         SELECT call, dst, step, conf FROM f QUALIFY step = min(step) OVER (PARTITION BY call)""",
