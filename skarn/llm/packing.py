@@ -48,7 +48,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def _best_exchange(giver: list[int], taker: list[int], sizes: list[int], gap: int, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
     """The exchange that adds most, more than gap and at most room, to taker: (gain, given, taken back).
 
-    One item, or two items, of giver go to taker for none or one of taker's. More than
+    One item of giver goes to taker for none or one of taker's, or two for one. More than
     max(gap, 0) is what makes the sum of squares grow.
     """
     least, best = max(gap, 0), None
@@ -58,14 +58,12 @@ def _best_exchange(giver: list[int], taker: list[int], sizes: list[int], gap: in
     give += [(sizes[a] + sizes[b], (a, b)) for k, a in enumerate(giver) for b in giver[k + 1 :]]
     for size, items in give:
         at = bisect_left(keys, size - room)  # the smallest return that still fits
-        if at < len(keys) and len(items) - (back[at][1] < 0) <= 1:
+        if len(items) == 2 and at == 0:
+            at = 1  # two for none isn't a move: any return fits, so take the smallest
+        if at < len(keys):
             gain = size - keys[at]
             if gain > least and (best is None or gain > best[0]):
                 best = (gain, items, () if back[at][1] < 0 else (back[at][1],))
-        elif at < len(keys) and len(keys) > 1:  # two for none isn't a move: take the next return
-            gain = size - keys[1]
-            if gain > least and (best is None or gain > best[0]):
-                best = (gain, items, (back[1][1],))
     return best
 
 
