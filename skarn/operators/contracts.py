@@ -95,7 +95,7 @@ def clean(df: DataFrame, rules: Sequence[Rule], as_null: bool = False) -> DataFr
 
 def documented(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """Q06, Q08: every rule as a row, executable or for information."""
-    rows = [(r.contract, r.object, r.column, r.kind, r.lo and float(r.lo), r.hi and float(r.hi), [str(m) for m in r.members], r.severity) for r in rules]
+    rows = [(r.contract, r.object, r.column, r.kind, None if r.lo is None else float(r.lo), None if r.hi is None else float(r.hi), [str(m) for m in r.members], r.severity) for r in rules]
     return spark.createDataFrame(rows, "contract string, object string, column string, rule string, lo double, hi double, in_set array<string>, severity string")
 
 

@@ -157,7 +157,7 @@ def resolve(facts: DataFrame, fanout: int = MAX_FANOUT, frequency: int = MAX_FRE
     steps = [mine.filter("to IS NOT NULL AND to <> src").select("call", "src", F.col("to").alias("dst"), F.lit(1).alias("step"), F.lit(HIERARCHY).alias("conf"))]
     real = nodes.filter("kind <> 'module'")
     by_class = _only(nodes.filter("kind = 'class'"), ["lang", "name"], "id").select("lang", F.col("name").alias("rclass"), F.col("id").alias("dst"))
-    made = calls.filter("rkind IN ('static', 'new') AND rclass <> ''").join(by_class.withColumnRenamed("dst", "class"), ["lang", "rclass"])
+    made = calls.filter("rkind IN ('static', 'new') AND rclass <> ''").drop("class").join(by_class.withColumnRenamed("dst", "class"), ["lang", "rclass"])
     made = made.withColumn("wanted", F.when(F.col("rkind") == "new", "__construct").otherwise(F.col("callee"))).drop("callee").join(first.select("class", F.col("callee").alias("wanted"), F.col("dst").alias("method")), ["class", "wanted"], "left")
     made = made.withColumn("dst", F.coalesce("method", F.when(F.col("rkind") == "new", F.col("class"))))
     steps.append(made.filter("dst IS NOT NULL AND dst <> src").select("call", "src", "dst", F.lit(3).alias("step"), F.lit(STATIC).alias("conf")))
