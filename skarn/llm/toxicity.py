@@ -186,11 +186,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> n
 
 def _apart(texts: list[bytes], n: int) -> list[bytes]:
     """n of the texts: the first, then always the one least like those chosen."""
-    similar = Model(_encode([t[:WIDTH] for t in texts]), np.ones(len(texts)), 0.0).similarities([t[:WIDTH] for t in texts])
-    chosen, most = [0], similar[0].copy()
+    cut = [t[:WIDTH] for t in texts]
+    like = lambda i: Model(_encode([cut[i]]), np.ones(1), 0.0).similarities(cut)[:, 0]
+    chosen, most = [0], like(0)
     while len(chosen) < min(n, len(texts)):
         chosen.append(int(np.argmin(most)))
-        most = np.maximum(most, similar[chosen[-1]])
+        most = np.maximum(most, like(chosen[-1]))
     return [texts[i] for i in dict.fromkeys(chosen)]
 
 
