@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import columns as C
+from skarn.plans.scratch import keep
 
 
 def volume_rollup(stats: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def lineage_closure(edges: DataFrame, start: Iterable[str], depth: int = 20) ->
     front = seen
     for d in range(1, depth + 1):
         new = front.join(pairs, front["name"] == pairs["src"]).select(F.col("dst").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(d))
-        front = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
+        front = keep(new, "lineage")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
