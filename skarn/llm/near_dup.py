@@ -6,10 +6,12 @@ minimum and the maximum over the shingles, two signature values for one evaluati
 of ROWS values are LSH buckets. Candidates are verified by the share of equal signature values, an
 unbiased estimate of the Jaccard similarity once the chance of equal low bytes is taken off.
 
-No bucket is compared pair by pair: each member is compared with the bucket's smallest doc_id, and
-buckets in which that leaves members over get a leader pass, in which every member is compared with
-all leaders before it and becomes a leader if it resembles none. Groups are the connected components
-of verified pairs, found by large-star/small-star steps; each group keeps its smallest doc_id.
+Members that are connected aren't compared again: each one is compared with the bucket's smallest doc_id, and
+buckets in which that leaves members over get a leader pass, in which a member that resembles no
+leader becomes one and is compared with all others, earlier ones included; members that are no leaders
+are then compared across what is not yet connected, so that a bucket's similar pairs connect it whole.
+Groups are the connected components of verified pairs, found by large-star/small-star steps; each
+group keeps its smallest doc_id.
 
 Defined cases: a null or empty text, or a null doc_id, is in no group and stays; a text of one or two
 words has one shingle; a text without words has its bytes as its shingle; rows that repeat a doc_id
@@ -128,7 +130,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def leaders(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """Verified pairs (doc, leader) of members sorted by bucket, and which members are leaders."""
+    """Verified pairs (doc, leader) of members sorted by bucket, and which members are leaders; a leader meets all other members."""
     open_, lead, pairs = np.ones(len(bucket), np.bool_), np.zeros(len(bucket), np.bool_), []
     rows = np.arange(len(bucket))
     while len(rows):
@@ -141,29 +143,89 @@ def leaders(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray, threshold: flo
         open_[head] = False
         rows = rows[np.isin(bucket[rows], b)]
         of = head[np.searchsorted(b, bucket[rows])]
-        later = rows > of
-        x, y = rows[later], of[later]
-        same = similarity(sig[x], sig[y]) >= threshold
+        other = ~lead[rows]  # earlier leaders have met this one
+        x, y = rows[other], of[other]
+        same = _similar(sig, x, y, threshold)
         open_[x[same]] = False
         apart = same & (doc[x] != doc[y])
         pairs.append(np.stack([doc[x[apart]], doc[y[apart]]], 1))
     return pairs, lead
 
 
+def _similar(sig: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, most: int = 1 << 16) -> np.ndarray:
+    """Which of the row pairs reach the threshold, in parts."""
+    out = np.zeros(len(x), np.bool_)
+    for a in range(0, len(x), most):
+        out[a : a + most] = similarity(sig[x[a : a + most]], sig[y[a : a + most]]) >= threshold
+    return out
+
+
+def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component under the row pairs."""
+    comp = np.arange(n)
+    while True:
+        new, low = comp.copy(), np.minimum(comp[x], comp[y])
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == comp).all():
+            return comp
+        comp = new
+
+
+def bucket_pairs(bucket: np.ndarray, sig: np.ndarray, threshold: float) -> np.ndarray:
+    """Similar row pairs (x, y) that connect, in each bucket of rows sorted by bucket, what all its similar pairs connect.
+
+    After the leaders, only members of different components that are both no leaders have not met.
+    Each of them in turn meets those that are still in other components.
+    """
+    first, lead = leaders(bucket, np.arange(len(bucket)), sig, threshold)
+    pairs = [np.zeros((0, 2), np.int64), *first]
+    comp = _labels(len(bucket), *np.concatenate(pairs).T)
+    rows = np.flatnonzero(~lead)
+    while len(rows):
+        b, start = np.unique(bucket[rows], return_index=True)
+        at = np.searchsorted(b, bucket[rows])
+        of = rows[start][at]
+        other = comp[rows] != comp[of]
+        more = np.bincount(at, other, len(b)) > 0
+        x, y = rows[other], of[other]
+        same = _similar(sig, x, y, threshold)
+        pairs.append(np.stack([x[same], y[same]], 1))
+        to = np.arange(len(bucket))
+        to[comp[x[same]]] = comp[y[same]]
+        comp = to[comp]
+        rows = rows[(rows != of) & more[at]]
+    return np.concatenate(pairs)
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, doc, sig) of sorted rows, cut so that no bucket is split."""
+    parts: list[tuple] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        sig = _bytes(b.column(2))
+        cut = int(np.searchsorted(bucket, bucket[-1]))
+        if cut or (parts and parts[-1][0][-1] != bucket[0]):
+            yield tuple(np.concatenate(c) for c in zip(*parts, (bucket[:cut], doc[:cut], sig[:cut]), strict=True))
+            parts = []
+        parts.append((bucket[cut:], doc[cut:], sig[cut:]))
+    if parts:
+        yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
 def _leader_pass(threshold: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None  # leaders of the bucket that may go on in the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            sig = _bytes(b.column(2))
-            if kept is not None and kept[0][0] == bucket[0]:
-                bucket, doc, sig = (np.concatenate([k, x]) for k, x in zip(kept, (bucket, doc, sig), strict=True))
-            pairs, lead = leaders(bucket, doc, sig, threshold)
-            tail = lead & (bucket == bucket[-1])
-            kept = bucket[tail], doc[tail], sig[tail]
-            p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        for bucket, doc, sig in _whole_buckets(batches):
+            # Members with one signature are alike: the first one stands for them.
+            key = np.ascontiguousarray(np.concatenate([bucket.astype(np.int64)[:, None].view(np.uint8), sig], axis=1))
+            _, first, of = np.unique(key.view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            keep = np.sort(first)
+            p = np.concatenate([keep[bucket_pairs(bucket[keep], sig[keep], threshold)], np.stack([np.arange(len(doc)), first[of]], 1)])
+            p = doc[p]
+            p = p[p[:, 0] != p[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(p.max(1)), pa.array(p.min(1))], names=["u", "v"])
 
     return go

@@ -84,6 +84,38 @@ def test_leader_pass_splits_a_bucket():
     assert sorted(map(tuple, np.concatenate(pairs).tolist())) == [(2, 0), (4, 1), (5, 3), (6, 0)]
 
 
+def mixed(kinds, shares):
+    """A signature that takes the given numbers of values from the given ones, in turn."""
+    return np.concatenate([k[a:b] for k, (a, b) in zip(kinds, shares, strict=True)])
+
+
+def test_late_leader_meets_closed_members():
+    a, b, c = np.random.default_rng(5).integers(0, 256, (3, 2 * nd.PERMS), dtype=np.uint8)
+    half = mixed((a, b), ((0, nd.PERMS), (nd.PERMS, None)))
+    pairs, lead = nd.leaders(np.zeros(3, np.int64), np.arange(3), np.stack([a, half, b]), 0.45)
+    assert lead.tolist() == [True, False, True]
+    assert sorted(map(tuple, np.concatenate(pairs).tolist())) == [(1, 0), (1, 2)]
+    # Two members that are no leaders connect two leaders, over three batches of one bucket.
+    t = 2 * nd.PERMS // 3
+    x, y = mixed((a, c, c), ((0, t), (t, 2 * t), (2 * t, None))), mixed((b, c, b), ((0, t), (t, 2 * t), (2 * t, None)))
+    x[-t // 4 :], y[-t // 4 :] = a[-t // 4 :], b[-t // 4 :]
+    x[: t // 4], y[: t // 4] = c[: t // 4], c[: t // 4]
+    near = lambda p, q: nd.similarity(p[None], q[None])[0]
+    th = min(near(a, x), near(b, y), near(x, y)) - 1e-9
+    assert th > max(near(a, b), near(a, y), near(b, x))
+    rows = [pa.RecordBatch.from_pydict({"b": [0] * len(s), "d": d, "s": [v.tobytes() for v in s]}) for d, s in (([1, 2], [a, b]), ([3], [x]), ([4, 5], [y, y]))]
+    edges = [(u, v) for out in nd._leader_pass(th)(iter(rows)) for u, v in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert sorted(edges) == [(3, 1), (4, 2), (4, 3), (5, 4)]
+
+
+def test_original_in_the_middle(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words if i == 100 else [f"z{i}_{j}" if rng.random() < 0.08 else w for j, w in enumerate(words)])) for i in range(200)]
+    got = {r.doc_id: r.duplicate_of for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= 190 and 100 in got
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(200, 100), (300, 200), (300, 100)]
     got = {r.u: r.v for r in nd.components(spark.createDataFrame(edges, "u long, v long")).collect()}
