@@ -197,6 +197,11 @@ def national_indicator(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("indicator", F.round("indicator", 6))
 
 
+def national_indicator_all(spark: SparkSession, d: str) -> DataFrame:
+    """A23 over all stations."""
+    return climate.national_indicator(climate.daily_extremes(read(spark, d, "events"), "user_id", "ts", "value")).withColumn("indicator", F.round("indicator", 6))
+
+
 def first_dates(spark: SparkSession, d: str) -> DataFrame:
     return climate.first_dates(read(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
 
@@ -289,7 +294,7 @@ QUERIES = {
     "F03c_licences": licences, "F04_range_rules_single_pass": range_rules, "F05_uniqueness": uniqueness, "Q11_sentinel_clean": sentinel_clean, "F06_completeness_anti": completeness, "F07_volumetry_rollup": volumetry,
     "F08_topk": top_orders, "O01_top_tables": top_tables, "J18_growth": volume_growth, "F09_reconcile_theta": reconcile, "A10_reconcile_counts": reconcile_counts, "F10_register_diff": register_diff, "Q09_schema_drift": schema_drift,
     "F11_incremental_diff": incremental_diff, "F12_lineage_enrich": lineage_enrich, "F13_daily_extremes": daily_extremes, "F14_monthly_dated_extremes": monthly_extremes, "A21_absolute_records": absolute_records, "F15_record_events": record_events,
-    "F16_baseline_mean": baseline_mean, "A23_national_indicator": national_indicator, "A24_first_dates": first_dates, "A25_pivot": rain_by_type, "W06_pressure_change": pressure_change, "W07_since_midnight": since_midnight,
+    "F16_baseline_mean": baseline_mean, "A23_national_indicator": national_indicator, "A23_all_stations": national_indicator_all, "A24_first_dates": first_dates, "A25_pivot": rain_by_type, "W06_pressure_change": pressure_change, "W07_since_midnight": since_midnight,
     "F17_temporal_validity_join": validity_join, "J14_as_of": as_of, "F18_priority_fallback": priority_fallback, "F19_shard_expansion": shard_expansion, "F30_set_ops": set_ops, "F31_tumbling": tumbling, "F31b_sessions": sessions,
     "A26_register_cube": register_cube, "P41_recent_feed": recent_feed,
 }
@@ -339,6 +344,7 @@ ORACLE_SQL = {
         p AS (SELECT *, max(record_value) OVER (PARTITION BY o_orderpriority, month ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_record_value FROM d) SELECT * FROM p WHERE record_value > previous_record_value""",
     "F16_baseline_mean": f"SELECT o_orderpriority AS station, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(day(o_orderdate) AS INTEGER) AS day, count(*) AS sample_count, {_MEAN} AS mean FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY ALL",
     "A23_national_indicator": "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, (min(value) + max(value)) / 2 AS m FROM events WHERE user_id IN (1, 2, 3, 5, 8, 13, 21) GROUP BY ALL) SELECT date, round(avg(m), 6) AS indicator, count(*) AS stations, count(*) < 7 AS is_fictive FROM d GROUP BY date",
+    "A23_all_stations": "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, (min(value) + max(value)) / 2 AS m FROM events GROUP BY ALL) SELECT date, round(avg(m), 6) AS indicator, count(*) AS stations, false AS is_fictive FROM d GROUP BY date",
     "A24_first_dates": "SELECT o_custkey AS station, min(CAST(o_orderdate AS DATE)) AS first_date FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1",
     "A25_pivot": "SELECT CAST(ts AS DATE) AS date, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase, round(sum(value) FILTER (event_type = 'view'), 4) AS \"view\" FROM events GROUP BY 1",
     "W06_pressure_change": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) SELECT a.event_type, a.h, a.n, a.n - b.n AS change FROM h a LEFT JOIN h b ON a.event_type = b.event_type AND b.h = a.h - INTERVAL 3 HOUR",

@@ -121,9 +121,19 @@ def cascade(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("first", F.min("step").over(graph.Window.partitionBy("call"))).filter("step = first").drop("first")
 
 
+def resolve_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every part a definition in its brand, every line a call of its part's name from there, by graph.resolve and its limits."""
+    p = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("repo"), F.lit("part").alias("path"), F.lit("sql").alias("lang"), F.lit("").alias("ns"), F.col("p_name").alias("name"))
+    defs = p.withColumns({"fact": F.lit("def"), "qname": F.col("name"), "kind": F.lit("function"), "start_line": F.col("p_partkey").cast("int"), "end_line": F.col("p_partkey").cast("int")})
+    calls = read(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("repo", "path", "lang", "ns", F.lit("call").alias("fact"), F.col("name").alias("callee"), F.lit("member").alias("rkind"), F.lit("").alias("caller"))
+    facts = defs.drop("p_partkey").unionByName(calls, allowMissingColumns=True)
+    missing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in graph.FACTS.split(", ") if c.split()[0] not in facts.columns}
+    return graph.resolve(facts.withColumns(missing))[1].select("src", "dst", "conf")
+
+
 QUERIES = {
     "F20_vector_topk": vector_topk, "T11_filtered_vector_topk": vector_topk_filtered, "F21_bm25_topk": bm25_topk, "F22_hybrid_rrf": hybrid, "F23_meta_rerank": meta_rerank, "A17_dry_run_cost": dry_run, "F24_sections": paragraphs, "F25_char_windows": char_windows,
-    "F26_edge_dedup": edge_dedup, "A13_fan_in": fan_in, "O02_hotspots": hotspots, "F27_bfs_impact": impact, "F28_pagerank": pagerank, "A16_build_stats": build_stats, "F29_cascade_resolution": cascade,
+    "F26_edge_dedup": edge_dedup, "A13_fan_in": fan_in, "O02_hotspots": hotspots, "F27_bfs_impact": impact, "F28_pagerank": pagerank, "A16_build_stats": build_stats, "F29_cascade_resolution": cascade, "G04_resolve": resolve_all,
 }
 
 _Q = "[" + ", ".join(map(str, QUERY)) + "]"
@@ -175,4 +185,9 @@ ORACLE_SQL = {
         one AS (SELECT name, brand, min(dst) AS dst FROM defs GROUP BY ALL HAVING count(*) = 1), hom AS (SELECT *, count(*) OVER (PARTITION BY name) AS h FROM defs),
         f AS (SELECT call, dst, 6 AS step, 0.9::DOUBLE AS conf FROM calls JOIN one USING (name, brand) UNION ALL SELECT call, dst, CASE WHEN h = 1 THEN 8 ELSE 9 END, CASE WHEN h = 1 THEN 0.75 ELSE 0.35 END::DOUBLE FROM calls JOIN hom ON calls.name = hom.name WHERE h <= 9)
         SELECT call, dst, step, conf FROM f QUALIFY step = min(step) OVER (PARTITION BY call)""",
+    "G04_resolve": """WITH calls AS (SELECT p_name AS name, p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), defs AS (SELECT p_name AS name, p_brand AS brand, p_brand || '/part:' || p_partkey || ':' || p_name AS dst FROM part),
+        blocked AS (SELECT name FROM defs GROUP BY 1 HAVING count(*) > 6 UNION SELECT name FROM calls GROUP BY 1 HAVING sum(n) > 200), one AS (SELECT name, brand, min(dst) AS dst FROM defs GROUP BY ALL HAVING count(*) = 1), hom AS (SELECT name, dst, count(*) OVER (PARTITION BY name) AS h FROM defs),
+        f AS (SELECT name, brand, dst, 6 AS step, 0.9::DOUBLE AS conf FROM calls JOIN one USING (name, brand) UNION ALL SELECT calls.name, brand, dst, CASE WHEN h = 1 THEN 8 ELSE 9 END, CASE WHEN h = 1 THEN 0.6 ELSE 0.35 END::DOUBLE FROM calls JOIN hom ON calls.name = hom.name WHERE calls.name NOT IN (SELECT name FROM blocked)),
+        best AS (SELECT * FROM f QUALIFY step = min(step) OVER (PARTITION BY name, brand))
+        SELECT brand || '/part:1:<module>' AS src, dst, max(conf) AS conf FROM best GROUP BY ALL""",
 }
