@@ -4,7 +4,9 @@ A text is lower-cased; its words are the runs of letters and digits (any non-ASC
 letter); its shingles are its runs of three words. Each of `PERMS` hash permutations yields both the
 minimum and the maximum over the shingles, two signature values for one evaluation of the hash. Bands
 of ROWS values are LSH buckets. Candidates are verified by the share of equal signature values, an
-unbiased estimate of the Jaccard similarity once the chance of equal low bytes is taken off.
+unbiased estimate of the Jaccard similarity once the chance of equal low bytes is taken off. Estimates
+of at least MARGIN over the threshold are taken; those less than MARGIN from it are settled by the
+exact sets of shingles, unless their documents are in one group already.
 
 Members that are connected aren't compared again: each one is compared with the bucket's smallest doc_id, and
 buckets in which that leaves members over get a leader pass, in which a member that resembles no
@@ -31,8 +33,10 @@ from pyspark.sql.window import Window
 
 from skarn.llm.common import mix64, small, span_hashes, store, table, text_parts, words_of
 
-PERMS, ROWS, SHINGLE = 72, 4, 3
+PERMS, ROWS, SHINGLE = 72, 3, 3
 THRESHOLD = 0.5
+#: Over three standard errors of the estimate at the threshold (0.042).
+MARGIN = 0.14
 _SEEDS = np.random.default_rng(7)
 _A = _SEEDS.integers(0, 2**32, PERMS, dtype=np.uint32) | np.uint32(1)
 _B = _SEEDS.integers(0, 2**32, PERMS, dtype=np.uint32)
@@ -129,7 +133,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sign, "doc_id long, bands array<long>, sig binary")
 
 
-def leaders(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
+def leaders(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray, threshold: float, near: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Verified pairs (doc, leader) of members sorted by bucket, and which members are leaders; a leader meets all other members."""
     open_, lead, pairs = np.ones(len(bucket), np.bool_), np.zeros(len(bucket), np.bool_), []
     rows = np.arange(len(bucket))
@@ -145,18 +149,23 @@ def leaders(bucket: np.ndarray, doc: np.ndarray, sig: np.ndarray, threshold: flo
         of = head[np.searchsorted(b, bucket[rows])]
         other = ~lead[rows]  # earlier leaders have met this one
         x, y = rows[other], of[other]
-        same = _similar(sig, x, y, threshold)
+        same = _similar(sig, x, y, threshold, near=near)
         open_[x[same]] = False
         apart = same & (doc[x] != doc[y])
         pairs.append(np.stack([doc[x[apart]], doc[y[apart]]], 1))
     return pairs, lead
 
 
-def _similar(sig: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, most: int = 1 << 16) -> np.ndarray:
-    """Which of the row pairs reach the threshold, in parts."""
+def _similar(sig: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, most: int = 1 << 16, near: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which of the row pairs reach the threshold, in parts; `near` gains those less than two MARGINs below it."""
     out = np.zeros(len(x), np.bool_)
     for a in range(0, len(x), most):
-        out[a : a + most] = similarity(sig[x[a : a + most]], sig[y[a : a + most]]) >= threshold
+        p, q = x[a : a + most], y[a : a + most]
+        s = similarity(sig[p], sig[q])
+        out[a : a + most] = s >= threshold
+        if near is not None:
+            close = (s < threshold) & (s >= threshold - 2 * MARGIN) & (p != q)
+            near.append(np.stack([p[close], q[close]], 1))
     return out
 
 
@@ -173,13 +182,14 @@ def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         comp = new
 
 
-def bucket_pairs(bucket: np.ndarray, sig: np.ndarray, threshold: float) -> np.ndarray:
-    """Similar row pairs (x, y) that connect, in each bucket of rows sorted by bucket, what all its similar pairs connect.
+def bucket_pairs(bucket: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar row pairs (x, y) that connect, in each bucket of rows sorted by bucket, what all its similar pairs connect; and the near pairs between what is left apart.
 
     After the leaders, only members of different components that are both no leaders have not met.
     Each of them in turn meets those that are still in other components.
     """
-    first, lead = leaders(bucket, np.arange(len(bucket)), sig, threshold)
+    near: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    first, lead = leaders(bucket, np.arange(len(bucket)), sig, threshold, near)
     pairs = [np.zeros((0, 2), np.int64), *first]
     comp = _labels(len(bucket), *np.concatenate(pairs).T)
     rows = np.flatnonzero(~lead)
@@ -190,13 +200,14 @@ def bucket_pairs(bucket: np.ndarray, sig: np.ndarray, threshold: float) -> np.nd
         other = comp[rows] != comp[of]
         more = np.bincount(at, other, len(b)) > 0
         x, y = rows[other], of[other]
-        same = _similar(sig, x, y, threshold)
+        same = _similar(sig, x, y, threshold, near=near)
         pairs.append(np.stack([x[same], y[same]], 1))
         to = np.arange(len(bucket))
         to[comp[x[same]]] = comp[y[same]]
         comp = to[comp]
         rows = rows[(rows != of) & more[at]]
-    return np.concatenate(pairs)
+    open_ = np.concatenate(near)
+    return np.concatenate(pairs), open_[comp[open_[:, 0]] != comp[open_[:, 1]]]
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -223,10 +234,12 @@ def _leader_pass(threshold: float):
             key = np.ascontiguousarray(np.concatenate([bucket.astype(np.int64)[:, None].view(np.uint8), sig], axis=1))
             _, first, of = np.unique(key.view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
             keep = np.sort(first)
-            p = np.concatenate([keep[bucket_pairs(bucket[keep], sig[keep], threshold)], np.stack([np.arange(len(doc)), first[of]], 1)])
-            p = doc[p]
-            p = p[p[:, 0] != p[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(p.max(1)), pa.array(p.min(1))], names=["u", "v"])
+            sure, near = bucket_pairs(bucket[keep], sig[keep], threshold)
+            p = doc[np.concatenate([keep[sure], np.stack([np.arange(len(doc)), first[of]], 1), keep[near]])]
+            same = np.arange(len(p)) < len(p) - len(near)
+            apart = p[:, 0] != p[:, 1]
+            p, same = p[apart], same[apart]
+            yield pa.RecordBatch.from_arrays([pa.array(p.max(1)), pa.array(p.min(1)), pa.array(same)], names=["u", "v", "same"])
 
     return go
 
@@ -234,12 +247,31 @@ def _leader_pass(threshold: float):
 def _verify(threshold: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = similarity(_bytes(b.column(2)), _bytes(b.column(3))) >= threshold
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same)], names=["u", "v", "same"])
+            s = similarity(_bytes(b.column(2)), _bytes(b.column(3)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s >= threshold), pa.array((s < threshold) & (s >= threshold - 2 * MARGIN))], names=["u", "v", "same", "near"])
 
     return go
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for a, e, data, offs in text_parts(pc.utf8_lower(b.column(1))):
+            doc, x = shingles(data, offs)
+            ends = np.searchsorted(doc, np.arange(e - a + 1)).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), sets], names=["doc_id", "set"])
+
+
+def exact_pairs(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose exact sets of shingles reach the threshold; of rows that repeat a doc_id any pair counts."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''").join(ids, "doc_id", "left_semi")
+    sets = store(rows.mapInArrow(_sets, "doc_id long, set array<long>").withColumn("set", F.array_distinct("set")), "minhash-sets")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= F.lit(threshold) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node of the pairs u > v that isn't its component's smallest, with the smallest."""
     edges = store(edges.select("u", "v").distinct(), "cc")
@@ -259,10 +291,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): every document that repeats another, with the one of its group that stays."""
-    return _groups(store(signatures(docs), "minhash"), threshold)
+    return _groups(docs, store(signatures(docs), "minhash"), threshold)
 
 
-def _groups(sigs: DataFrame, threshold: float) -> DataFrame:
+def _groups(docs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    sure = threshold + MARGIN
     w = Window.partitionBy("bucket")
     bands = sigs.select("doc_id", F.explode("bands").alias("bucket"))
     members = store(bands.withColumn("lead", F.min("doc_id").over(w)).withColumn("n", F.max("doc_id").over(w)).filter("n > lead").drop("n"), "minhash-members")
@@ -270,13 +303,19 @@ def _groups(sigs: DataFrame, threshold: float) -> DataFrame:
     a = sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("sig_u"))
     b = sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v"))
     joined = pairs.join(b, "v").join(a, "u").select("u", "v", "sig_u", "sig_v")
-    checked = store(joined.mapInArrow(_verify(threshold), "u long, v long, same boolean"), "minhash-pairs")
+    checked = store(joined.mapInArrow(_verify(sure), "u long, v long, same boolean, near boolean"), "minhash-pairs")
     edges = checked.filter("same").select("u", "v")
     failed = checked.filter("NOT same").select(F.col("u").alias("doc_id"), F.col("v").alias("lead"))
     mixed = members.join(failed, ["doc_id", "lead"], "left_semi").select("bucket").distinct()
     rest = members.join(mixed, "bucket", "left_semi").select("bucket", "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").select("bucket", "doc_id", "sig")
-    more = rest.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_leader_pass(threshold), "u long, v long")
-    return components(edges.union(more)).select(F.col("u").alias("doc_id"), F.col("v").alias("duplicate_of"))
+    more = store(rest.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_leader_pass(sure), "u long, v long, same boolean"), "minhash-more")
+    found = components(edges.union(more.filter("same").select("u", "v")))
+    near = checked.filter("near").select("u", "v").union(more.filter("NOT same").select("u", "v")).distinct()
+    root = found.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    apart = near.join(root.toDF("u", "root_u"), "u", "left").join(root.toDF("v", "root_v"), "v", "left").filter("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v")
+    close = store(exact_pairs(docs, store(apart, "minhash-near"), threshold), "minhash-close")
+    whole = found if close.isEmpty() else components(found.union(close))
+    return whole.select(F.col("u").alias("doc_id"), F.col("v").alias("duplicate_of"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -285,7 +324,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Texts are shuffled only if the dropped ids are too many to broadcast.
     """
     sigs = store(signatures(docs), "minhash")
-    dropped = small(_groups(sigs, threshold).select(F.col("doc_id").alias("__dup_id")), "minhash-dropped")
+    dropped = small(_groups(docs, sigs, threshold).select(F.col("doc_id").alias("__dup_id")), "minhash-dropped")
     twice = small(sigs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__dup_id")), "minhash-twice")
     kept = docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dup_id"], "left_anti")
     if twice.isEmpty():

@@ -104,7 +104,7 @@ def test_late_leader_meets_closed_members():
     th = min(near(a, x), near(b, y), near(x, y)) - 1e-9
     assert th > max(near(a, b), near(a, y), near(b, x))
     rows = [pa.RecordBatch.from_pydict({"b": [0] * len(s), "d": d, "s": [v.tobytes() for v in s]}) for d, s in (([1, 2], [a, b]), ([3], [x]), ([4, 5], [y, y]))]
-    edges = [(u, v) for out in nd._leader_pass(th)(iter(rows)) for u, v in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    edges = [(u, v) for out in nd._leader_pass(th)(iter(rows)) for u, v, same in zip(*(c.to_pylist() for c in out.columns), strict=True) if same]
     assert sorted(edges) == [(3, 1), (4, 2), (4, 3), (5, 4)]
 
 
@@ -132,3 +132,18 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 0, 1, 2, 3, 5, 7, 9, 11, 12]
     assert nd.deduplicate(docs.limit(0)).count() == 0 and nd.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    texts, want = [], {}
+    for k in range(400):
+        n = 240 + k % 7
+        cut = (76 if k % 2 else 100) + k % 3
+        words = [f"p{k}_{i}" for i in range(n)]
+        pair = [" ".join(words), " ".join(words[cut:] + [f"q{k}_{i}" for i in range(cut)])]
+        want[2 * k + 1] = jaccard(*map(shingle_set, pair))
+        texts += pair
+    got = {r.doc_id: r.duplicate_of for r in nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    reach = [i for i, s in want.items() if s >= nd.THRESHOLD]
+    assert len(reach) == 200 and max(want[i] for i in reach) < 0.55 and np.mean([got.get(i) == i - 1 for i in reach]) >= 0.98
+    assert all(i in want and got[i] == i - 1 for i in got) and sum(want[i] < nd.THRESHOLD for i in got) <= 1
