@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm import mixing, near_dup, packing, quality, secrets
 from skarn.llm.common import store, table
+from skarn.plans.scratch import discard
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each stage's result is written and reread as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = store(docs, name)
+            discard(last)
     return docs
