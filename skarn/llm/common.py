@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_SHARED = "spark.checkpoint.dir"
-_OWN: dict[str, str] = {}
+from skarn.plans.scratch import keep
+
 #: A side of a join is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 #: Whitespace-delimited words, spelled so that Java, RE2 and Python agree.
@@ -27,22 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none."""
-    named = spark.conf.get(_SHARED, None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="skarn-")
-    return _OWN[app]
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: lineage ends there, executors may die."""
-    path = f"{shared_dir(df.sparkSession)}/skarn/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep(df, name)
 
 
 def small(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,6 +41,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def count_words(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns with `n`, which is n_words() of the column text, counted by numpy in one scan."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.zeros(b.num_rows, np.int64)
+            for a, z, data, offs in text_parts(b.column(len(cols))):
+                inside = ~_IS_GAP[data]
+                first = inside.copy()
+                first[1:] &= ~inside[:-1]
+                heads = offs[:-1][np.diff(offs) > 0]
+                first[heads] = inside[heads]
+                at = np.concatenate([[0], np.cumsum(first)])
+                n[a:z] = at[offs[1:]] - at[offs[:-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(n)], names=[*cols, "n"])
+
+    rows = df.select(*cols, "text")
+    return rows.mapInArrow(go, T.StructType([*rows.schema.fields[: len(cols)], T.StructField("n", T.LongType())]))
+
+
 # ---------------------------------------------------------------- text batches
 
 
@@ -80,6 +85,8 @@ def text_parts(col: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator
 
 _RNG = np.random.default_rng(20240229)
 _POS = _RNG.integers(1, 2**63, 1 << 12, dtype=np.uint64) | np.uint64(1)
+_IS_GAP = np.zeros(256, np.bool_)
+_IS_GAP[list(b" \t\n\r")] = True
 _IS_WORD = np.zeros(256, np.bool_)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -119,8 +126,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     pos = np.arange(int(size.sum()), dtype=np.int64)
     pos -= np.repeat(at, size)
     chars = data[pos + np.repeat(starts, size)].astype(np.uint64)
-    pos &= len(_POS) - 1
     chars += np.uint64(1)
+    if int(size.max()) > len(_POS):  # the weights of each further block are those of the first times its own
+        chars *= mix64((pos >> 12).astype(np.uint64)) | np.uint64(1)
+        pos &= len(_POS) - 1
     chars *= _POS[pos]
     return mix64(np.add.reduceat(chars, at) + size.astype(np.uint64))
 
@@ -168,6 +177,7 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, name: s
     again. Returns the rows with `before`, and the totals per group as (group, total).
     """
     spec = T.StructType([*df.schema.fields, T.StructField("pid", T.IntegerType()), T.StructField("local", T.LongType())])
+    df = store(df, f"{name}-rows")  # the range shuffle reads its input twice, once to find the bounds
     ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
     kept = store(ranged.mapInArrow(_running(group, value, "local"), spec), name)
     parts = kept.groupBy(group, "pid").agg(F.max("local").alias("part"))

@@ -8,8 +8,10 @@ The document at the cut gives only the tokens that are still due (`take_tokens`)
 
 Defined cases: a null source is a source of its own; a null text, or one without words, has no
 tokens and is never taken; a null doc_id hashes as 'null'; repeated rows each count, ties of key
-and doc_id are ordered by token count; an empty table, or one without tokens, gives no rows.
-Columns other than doc_id, source and text are ignored by mix() and kept by mix_documents().
+and doc_id are ordered by token count; a very long text is counted whole and may be cut like any other;
+a source of weight 0 gives nothing, and with all weights 0 there are no rows; an empty table, or one
+without tokens, gives no rows. Columns other than doc_id, source and text, whatever their names, are
+ignored by mix() and kept by mix_documents().
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skarn.llm.common import n_words, prefix_sums, small, table
+from skarn.llm.common import count_words, n_words, prefix_sums, small, table
 
 SEED = 17
 #: Target weights by source; any other source has DEFAULT_WEIGHT.
@@ -39,13 +41,15 @@ def _group() -> Column:
 
 def _plan(docs: DataFrame, weights: Mapping[str, int], default: int, total: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
     """Rows (g, key, doc_id, n, before), and per source (g, full epochs, rest of the budget)."""
-    rows = docs.select(_group().alias("g"), _key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("n")).filter("n > 0")
+    rows = docs.select(_group().alias("g"), _key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = count_words(rows, ["g", "key", "doc_id"]).filter("n > 0")
     summed, totals = prefix_sums(rows, "g", ["key", "doc_id", "n"], "n", "mix")
     pairs = [x for s, w in weights.items() for x in (F.lit(f"={s}"), F.lit(int(w)))]
     weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("g")), F.lit(default)) if pairs else F.lit(default)
-    # The windows without a partition run over one row for each source.
-    all_tokens = "sum(total) OVER ()" if total is None else f"{int(total)}L"
-    totals = totals.withColumn("w", weight.cast("long")).withColumn("budget", F.expr(f"({all_tokens} * w) div sum(w) OVER ()"))
+    # The window without a partition runs over one row for each source.
+    all_tokens = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] if total is None else int(total)
+    totals = totals.withColumn("w", weight.cast("long")).filter("w > 0")
+    totals = totals.withColumn("budget", F.expr(f"CAST((CAST({all_tokens} AS decimal(38,0)) * w) div sum(w) OVER () AS long)"))
     return summed, small(totals.selectExpr("g", "budget div total AS full", "budget % total AS rest"), "mix-budgets")
 
 
@@ -80,19 +84,21 @@ def mix_documents(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default
     cut = crossing.select("g", at.alias("cut"))
     start = rows.join(small(cut, "mix-cut"), "g").filter(at == F.col("cut")).groupBy("g", "cut").agg(F.min("before").alias("start"))
     plan = small(budgets.join(start, "g", "left").select(*(F.col(c).alias(f"__mix_{c}") for c in ("g", "full", "rest", "cut", "start"))), "mix-plan")
-    cols = docs.columns
-    base = docs.withColumn("__mix_g", _group()).withColumn("__mix_at", F.struct(_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("n")))
-    base = base.filter("__mix_at.n > 0").join(plan, "__mix_g")
-    below = F.coalesce(F.col("__mix_at") < F.col("__mix_cut"), F.lit(False)).cast("long")
-    whole = base.withColumn("__mix_copies", F.col("__mix_full") + below).filter("__mix_copies > 0").withColumn("__mix_e", F.explode(F.expr("sequence(1L, __mix_copies)"))).select(*cols)
-    w = Window.partitionBy("__mix_g", "__mix_at").orderBy("text")
-    due = F.expr("__mix_rest - __mix_start - (__mix_o - 1) * __mix_at.n")
-    part = base.filter(F.col("__mix_at") == F.col("__mix_cut")).withColumn("__mix_o", F.row_number().over(w)).withColumn("__mix_due", F.least(due, F.col("__mix_at.n"))).filter("__mix_due > 0")
-    text = F.when(F.col("__mix_due") < F.col("__mix_at.n"), _first_words(F.col("text"), F.col("__mix_due"))).otherwise(F.col("text"))
-    part = part.withColumn("text", text)
-    if "n_chars" in cols:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part.select(*cols))
+    # The columns are carried in one struct, so that none of their names can clash.
+    row = lambda c: F.col("r").getField(c)
+    due_text = row("text").rlike("[^ \\t\\n\\r]")
+    base = docs.select(_group().alias("__mix_g"), _key(seed).alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*(docs[c] for c in docs.columns)).alias("r")).filter(due_text).join(plan, "__mix_g")
+    here = F.struct("key", F.col("id").alias("doc_id"))
+    cut_at = F.struct(F.col("__mix_cut.key").alias("key"), F.col("__mix_cut.doc_id").alias("doc_id"))
+    below = F.when(here == cut_at, n_words(row("text")) < F.col("__mix_cut.n")).otherwise(here < cut_at)  # words are counted at the cut alone
+    whole = base.withColumn("copies", F.col("__mix_full") + F.coalesce(below, F.lit(False)).cast("long")).filter("copies > 0").withColumn("e", F.explode(F.expr("sequence(1L, copies)"))).select("r")
+    w = Window.partitionBy("__mix_g").orderBy(row("text"))
+    part = base.filter(here == cut_at).withColumn("n", n_words(row("text"))).filter("n = __mix_cut.n").withColumn("o", F.row_number().over(w))
+    part = part.withColumn("due", F.least(F.expr("__mix_rest - __mix_start - (o - 1) * n"), F.col("n"))).filter("due > 0")
+    text = F.when(F.col("due") < F.col("n"), _first_words(row("text"), F.col("due"))).otherwise(row("text"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    part = part.select(F.struct(*(new.get(c, row(c)).alias(c) for c in docs.columns)).alias("r"))
+    return whole.unionByName(part).select(*(row(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

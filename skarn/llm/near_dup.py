@@ -16,8 +16,9 @@ Groups are the connected components of verified pairs, found by large-star/small
 group keeps its smallest doc_id.
 
 Defined cases: a null or empty text, or a null doc_id, is in no group and stays; a text of one or two
-words has one shingle; a text without words has its bytes as its shingle; rows that repeat a doc_id
-are one document, of which one row stays; other columns are kept; an empty table has no groups.
+words has one shingle; a text without words has its bytes as its shingle; a very long text is read whole;
+rows that repeat a doc_id are one document, of which one row stays, also where they have no text; other
+columns are kept, whatever their names; an empty table has no groups.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.llm.common import mix64, small, span_hashes, store, table, text_parts, words_of
+from skarn.plans.scratch import discard
 
 PERMS, ROWS, SHINGLE = 72, 3, 3
 THRESHOLD = 0.5
@@ -281,12 +283,14 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == state or not mark[0]:
             return edges
         state = mark
-        both = edges.union(edges.select("v", "u"))
-        w = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.withColumn("m", F.min("v").over(w))
-        step = least.select("u", "m").union(least.filter("v <> m").select("v", "m")).toDF("u", "v").distinct()
-        edges = store(step, "cc")
+        # Aggregates combine before they are shuffled, so a hub with many neighbours isn't one task's.
+        low = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = store(edges.join(low, "v").select("u", F.col("m").alias("v")).distinct(), "cc-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        step = large.join(least, "u").filter("v <> m").select("v", "m").union(least).toDF("u", "v").distinct()
+        last, edges = edges, store(step, "cc")
+        discard(last)
+        discard(large)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,9 +300,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _groups(docs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     sure = threshold + MARGIN
-    w = Window.partitionBy("bucket")
     bands = sigs.select("doc_id", F.explode("bands").alias("bucket"))
-    members = store(bands.withColumn("lead", F.min("doc_id").over(w)).withColumn("n", F.max("doc_id").over(w)).filter("n > lead").drop("n"), "minhash-members")
+    # Combined before the shuffle, so a hot bucket isn't one task's.
+    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("n")).filter("n > lead").drop("n")
+    members = store(bands.join(shared, "bucket"), "minhash-members")
     pairs = members.filter("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).distinct()
     a = sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("sig_u"))
     b = sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sig_v"))
@@ -319,19 +324,22 @@ def _groups(docs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that repeat another; of rows that repeat a doc_id one stays.
+    """The documents without those that repeat another; of rows that repeat a doc_id the one of smallest text stays.
 
     Texts are shuffled only if the dropped ids are too many to broadcast.
     """
     sigs = store(signatures(docs), "minhash")
-    dropped = small(_groups(docs, sigs, threshold).select(F.col("doc_id").alias("__dup_id")), "minhash-dropped")
-    twice = small(sigs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__dup_id")), "minhash-twice")
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dup_id"], "left_anti")
-    if twice.isEmpty():
-        return kept
-    again = kept["doc_id"].cast("long") == twice["__dup_id"]
-    first = kept.join(twice, again, "left_semi").withColumn("__dup_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return kept.join(twice, again, "left_anti").union(first.filter("__dup_rank = 1").drop("__dup_rank"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL")
+    dropped = small(_groups(docs, sigs, threshold).select(F.col("doc_id").alias("id")), "minhash-dropped")
+    twice = small(ids.groupBy("id").count().filter("count > 1").select("id"), "minhash-twice")
+    # The columns are carried in one struct, so that none of their names can clash.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(dropped, "id", "left_anti")
+    if not twice.isEmpty():
+        w = Window.partitionBy("id").orderBy(F.col("r").getField("text"))
+        one = kept.join(twice, "id", "left_semi").withColumn("n", F.row_number().over(w)).filter("n = 1").select("id", "r")
+        kept = kept.join(twice, "id", "left_anti").select("id", "r").unionByName(one)
+    return kept.select(*(F.col("r").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,27 @@
 """Operator 10, best-fit packing of documents into token sequences, improved by local search.
 
-A document longer than `capacity` is split into full pieces and a rest. Documents are spread by hash
-over shards of about `per_shard` documents, each of which is packed by itself: best-fit decreasing,
-then a local search over the underfull bins. It moves a document, exchanges one for one, or one for
-two between two underfull bins, whenever the sum of squared fills grows, until a bin is empty or
-nothing improves; it stops once a shard has as few bins as its tokens allow, which is optimal.
+A document longer than `capacity` is split into full pieces and a rest. Rests are spread by hash over
+tasks of about `per_shard`, each of which packs its own: best-fit decreasing, then a local search over
+the underfull bins. It moves a document, exchanges one for one, two for one or one for two between two
+underfull bins whenever the sum of squared fills grows, until a bin is empty or nothing improves; it
+stops once there are as few bins as the tokens allow. Documents of one length are alike, so a bin is a
+multiset of lengths, and an index by length, and by the sum of two, gives for each bin the exchange that
+fills it most without trying all pairs of bins.
+
+Rounds: the bins that are still underfull meet those of other tasks, spread by another hash, and the
+search goes on among them. Rounds end when one task holds all underfull bins, or when a round emptied
+less than SETTLED of them. So no task grows with the corpus, and no bin stays open because of the split.
 
 Defined cases: a document without words, or with a null text, takes no place and is in no bin; a
-null doc_id is packed as null; repeated rows are packed each; ties go by doc_id; other columns are
-not read; an empty table gives no bins.
+null doc_id is packed as null; repeated rows are packed each; a very long text is split; ties go by
+doc_id; other columns are not read; an empty table gives no bins.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import n_words, table
+from skarn.llm.common import count_words, store, table
 
 CAPACITY = 2048
 PER_SHARD = 20_000
-SCHEMA = "bin_id long, doc_ids array<long>, starts array<int>, lengths array<int>, fill int"
+#: Share of the underfull bins that a round must empty for another one to follow.
+SETTLED = 0.005
+BINS = "s long, doc_ids array<long>, starts array<int>, lengths array<int>, fill int"
+_FAR = 1 << 40
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -45,88 +56,168 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_exchange(giver: list[int], taker: list[int], sizes: list[int], gap: int, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange that adds most, more than gap and at most room, to taker: (gain, given, taken back).
+class _Index:
+    """By value (a length, or a sum of two lengths of a bin), the bin that keeps least without it.
 
-    One item of giver goes to taker for none or one of taker's, or two for one. More than
-    max(gap, 0) is what makes the sum of squares grow.
+    Entries of bins that changed since are skipped when they come up.
     """
-    least, best = max(gap, 0), None
-    back = sorted([(0, -1), *((sizes[j], j) for j in taker)])
-    keys = [s for s, _ in back]
-    give = [(sizes[i], (i,)) for i in giver]
-    give += [(sizes[a] + sizes[b], (a, b)) for k, a in enumerate(giver) for b in giver[k + 1 :]]
-    for size, items in give:
-        at = bisect_left(keys, size - room)  # the smallest return that still fits
-        if len(items) == 2 and at == 0:
-            at = 1  # two for none isn't a move: any return fits, so take the smallest
-        if at < len(keys):
-            gain = size - keys[at]
-            if gain > least and (best is None or gain > best[0]):
-                best = (gain, items, () if back[at][1] < 0 else (back[at][1],))
-    return best
+
+    def __init__(self, capacity: int) -> None:
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.least = np.full(capacity + 1, _FAR, np.int64)
+
+    def add(self, value: int, kept: int, b: int, version: int) -> None:
+        heapq.heappush(self.heaps[value], (kept, b, version))
+        self.least[value] = self.heaps[value][0][0]
+
+    def clean(self, value: int, versions: list[int]) -> None:
+        heap = self.heaps[value]
+        while heap and versions[heap[0][1]] != heap[0][2]:
+            heapq.heappop(heap)
+        self.least[value] = heap[0][0] if heap else _FAR
+
+    def find(self, low: int, high: int, below: int, versions: list[int]) -> int:
+        """The largest value in (low, high] whose bin keeps less than `below`; 0 if there is none."""
+        while True:
+            hits = np.flatnonzero(self.least[low + 1 : high + 1] < below)
+            if not len(hits):
+                return 0
+            value = low + 1 + int(hits[-1])
+            self.clean(value, versions)
+            if self.least[value] < below:
+                return value
+
+
+def _pairs(c: Counter) -> dict[int, tuple[int, int]]:
+    """Sums of two of a bin's lengths, each with one way to get it."""
+    kinds = sorted(c)
+    return {a + b: (a, b) for i, a in enumerate(kinds) for b in kinds[i:] if a != b or c[a] > 1}
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Local search between underfull bins; each step adds to the sum of squared fills, so it ends."""
+    """Local search between underfull bins; each step adds to the sum of squared fills, so it ends.
+
+    What a taker of fill t gives back (sum r) for what it gets (sum v) makes the squares grow if and only
+    if v > r and the giver keeps less than t - r: then v - r is more than the giver's lead.
+    """
     least = -(-sum(sizes) // capacity)
-    fill = {b: sum(sizes[i] for i in bins[b]) for b in range(len(bins))}
-    bins = [list(b) for b in bins]
-    again = len(fill) > least
-    while again:
-        again = False
-        low = sorted((b for b in fill if fill[b] < capacity), key=lambda b: (fill[b], b))
-        for giver in low:
-            if giver not in fill or fill[giver] == capacity:
-                continue
-            for taker in reversed(low):
-                if taker == giver or taker not in fill or fill[taker] == capacity:
-                    continue
-                step = _best_exchange(bins[giver], bins[taker], sizes, fill[giver] - fill[taker], capacity - fill[taker])
-                if step is None:
-                    continue
-                gain, given, taken = step
-                bins[giver] = [i for i in bins[giver] if i not in given] + list(taken)
-                bins[taker] = [i for i in bins[taker] if i not in taken] + list(given)
-                fill[giver] -= gain
-                fill[taker] += gain
-                again = True
-                if not bins[giver]:
-                    del fill[giver]
-                    break
-            if len(fill) == least:
-                return [bins[b] for b in sorted(fill)]
-    return [bins[b] for b in sorted(fill)]
-
-
-def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Bins of pieces (index of the document, first token, tokens) of documents with these lengths."""
-    full = [[(i, k * capacity, capacity)] for i, n in enumerate(lengths.tolist()) for k in range(n // capacity)]
-    rest = [(i, n - n % capacity, n % capacity) for i, n in enumerate(lengths.tolist()) if n % capacity]
-    sizes = [r[2] for r in rest]
-    packed = improve(best_fit(sizes, capacity), sizes, capacity)
-    return full + [[rest[j] for j in b] for b in packed]
+    hold = [Counter(sizes[i] for i in b) for b in bins]
+    fill = [sum(k * n for k, n in c.items()) for c in hold]
+    left, versions = sum(f > 0 for f in fill), [0] * len(bins)
+    if left > least:
+        one, two = _Index(capacity), _Index(capacity)
+
+        def enter(b: int) -> None:
+            if 0 < fill[b] < capacity:
+                for v in hold[b]:
+                    one.add(v, fill[b] - v, b, versions[b])
+                for v in _pairs(hold[b]):
+                    two.add(v, fill[b] - v, b, versions[b])
+
+        def step(b: int) -> int | None:
+            """Make the exchange that fills b most; return the giver, None if there is no exchange."""
+            room, t = capacity - fill[b], fill[b]
+            pairs = _pairs(hold[b])
+            back = [(0, ()), *((r, (r,)) for r in hold[b]), *pairs.items()]
+            best, found = 0, None
+            for r, given in back:
+                for index in (one, two) if len(given) == 1 else (one,):
+                    if t - r > 0 and room > best:
+                        v = index.find(r + best, min(r + room, capacity), t - r, versions)
+                        if v:
+                            best, found = v - r, (index, v, given)
+            if found is None:
+                return None
+            index, v, given = found
+            g = index.heaps[v][0][1]
+            taken = (v,) if index is one else _pairs(hold[g])[v]
+            for bin_, out, in_ in ((g, taken, given), (b, given, taken)):
+                hold[bin_].subtract(out)
+                hold[bin_].update(in_)
+                hold[bin_] = +hold[bin_]
+            fill[g] -= best
+            fill[b] += best
+            return g
+
+        for b in range(len(bins)):
+            enter(b)
+        again = True
+        while again and left > least:
+            again = False
+            for b in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b)):
+                moved = True
+                while moved and 0 < fill[b] < capacity and left > least:
+                    versions[b] += 1  # out of the index, so that it doesn't meet itself
+                    g = step(b)
+                    moved = g is not None
+                    if moved:
+                        again = True
+                        versions[g] += 1
+                        left -= fill[g] == 0
+                        enter(g)
+                    enter(b)
+    stock: dict[int, list[int]] = {}
+    for b in bins:
+        for i in b:
+            stock.setdefault(sizes[i], []).append(i)
+    for s in stock.values():
+        s.reverse()
+    return [[stock[v].pop() for v in sorted(c, reverse=True) for _ in range(c[v])] for c, f in zip(hold, fill, strict=True) if f]
+
+
+def _frame(key: int, bins: list[list[int]], ids: list, starts: list[int], sizes: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({
+        "s": np.full(len(bins), key, np.int64),
+        "doc_ids": [[ids[i] for i in b] for b in bins],
+        "starts": [[starts[i] for i in b] for b in bins],
+        "lengths": [[sizes[i] for i in b] for b in bins],
+        "fill": [sum(sizes[i] for i in b) for b in bins],
+    })
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD) -> DataFrame:
     """(bin_id, doc_ids, starts, lengths, fill): the pieces of each bin, with first token and tokens."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("n"))
-    shards = max(1, -(-docs.select("doc_id").count() // per_shard))
-    rows = rows.filter("n > 0").withColumn("s", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)))
-
-    def go(key: tuple, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = count_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]).filter("n > 0")
+    rows = store(rows.withColumn("rest", F.col("n") % capacity), "packing-lengths")
+    first = F.explode(F.expr(f"sequence(0L, n div {capacity} - 1)"))
+    whole = rows.filter(F.col("n") >= capacity).select("doc_id", first.alias("k")).select(F.lit(0).cast("long").alias("s"), F.array("doc_id").alias("doc_ids"), F.array((F.col("k") * capacity).cast("int")).alias("starts"), F.array(F.lit(capacity)).alias("lengths"), F.lit(capacity).alias("fill"))
+    rest = rows.filter("rest > 0").select("doc_id", "n", "rest")
+    shards = lambda n: max(1, -(-n // per_shard))
+
+    def start(key: tuple, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(it), ignore_index=True).sort_values(["doc_id", "n"], kind="stable", na_position="first")
         ids = [None if pd.isna(d) else int(d) for d in pdf["doc_id"].astype("object")]
-        out = pack_lengths(pdf["n"].to_numpy(), capacity)
-        yield pd.DataFrame({
-            "bin_id": np.arange(len(out), dtype=np.int64) + (int(key[0]) << 32),
-            "doc_ids": [[ids[i] for i, _, _ in b] for b in out],
-            "starts": [[a for _, a, _ in b] for b in out],
-            "lengths": [[n for _, _, n in b] for b in out],
-            "fill": [sum(n for _, _, n in b) for b in out],
-        })
-
-    return rows.groupBy("s").applyInPandas(go, SCHEMA)
+        sizes = pdf["rest"].tolist()
+        yield _frame(int(key[0]), improve(best_fit(sizes, capacity), sizes, capacity), ids, (pdf["n"] - pdf["rest"]).tolist(), sizes)
+
+    def go_on(key: tuple, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(it), ignore_index=True)
+        pdf["of"] = [tuple(x) for x in pdf["lengths"]]
+        pdf = pdf.sort_values(["fill", "of"], kind="stable")
+        ids = [None if pd.isna(i) else int(i) for x in pdf["doc_ids"] for i in x]
+        starts, sizes = ([int(i) for x in pdf[c] for i in x] for c in ("starts", "lengths"))
+        ends = np.cumsum([len(x) for x in pdf["lengths"]]).tolist()
+        bins = [list(range(a, z)) for a, z in zip([0, *ends], ends, strict=False)]
+        yield _frame(int(key[0]), improve(bins, sizes, capacity), ids, starts, sizes)
+
+    n = shards(rest.count())
+    keyed = rest.withColumn("s", F.pmod(F.xxhash64("doc_id", "n"), F.lit(n)))
+    hot = F.col("doc_id").isNull()  # without ids, documents of one length would hash alike
+    keyed = keyed.withColumn("s", F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(n))).otherwise(F.col("s")))
+    out = store(store(keyed, "packing-shards").groupBy("s").applyInPandas(start, BINS), "packing-bins")
+    done, salt = whole.unionByName(out.filter(F.col("fill") == capacity)), 0
+    open_ = out.filter(F.col("fill") < capacity)
+    while n > 1:
+        bins, items = open_.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lengths")), F.lit(0))).first()
+        if bins < 2:
+            break
+        n, salt = shards(items), salt + 1
+        spread = F.pmod(F.xxhash64("doc_ids", "starts", "s", F.lit(salt)), F.lit(n))
+        out = store(open_.withColumn("s", spread).groupBy("s").applyInPandas(go_on, BINS), "packing-round")
+        done, open_ = done.unionByName(out.filter(F.col("fill") == capacity)), out.filter(F.col("fill") < capacity)
+        if bins - out.count() < SETTLED * bins:
+            break
+    return done.unionByName(open_).select(F.monotonically_increasing_id().alias("bin_id"), "doc_ids", "starts", "lengths", "fill")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ of complete trees, by which a batch of documents walks all trees level by level.
 probability of good quality is under `threshold` are rejected. Scoring is one scan without a shuffle.
 
 Defined cases: a null text counts as empty; an empty text has all statistics 0 and is scored like any
-other; null labels and labels of no document are ignored; without labels of both classes every
+other; a very long text is read whole; null labels and labels of no document are ignored; without labels of both classes every
 document is kept with score 1; a null doc_id is carried through; repeated rows get the same score;
 other columns are kept by keep_good() and never read by score(); an empty table gives no rows.
 """

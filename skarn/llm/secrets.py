@@ -12,7 +12,7 @@ nor suppressed, the maximal stretches of letters and digits, of hex digits and o
 WINDOW characters are judged by their own class, letters by LETTERS; the allow-list holds for a stretch
 too, also after a word and a separator inside the candidate.
 
-Defined cases: a null or empty text has no secrets; a candidate of any length is scanned whole;
+Defined cases: a null or empty text has no secrets; a text or candidate of any length is scanned whole;
 repeated candidates and rows are each reported; a null doc_id is carried through; redact() keeps all
 rows and columns and updates n_chars where a text changed; an empty table gives no rows.
 """
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from skarn.llm.common import runs, table, text_parts
 
 WINDOW = 20
+#: Windows of a span that one pass of single steps goes through.
+LONG = 512
 #: Bits at which the highest window entropy of a class makes a secret; a class that isn't here never does.
 THRESHOLDS: dict[str, float] = {"hex": 2.8, "alnum": 3.6, "base64": 3.85}
 #: The same for stretches of letters: words run together stay below it, as do many short keys of small letters alone.
@@ -58,6 +60,13 @@ def window_entropy(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width
     """Highest Shannon entropy of the windows of each span, by incremental counts over all spans at once."""
     if not len(starts):
         return np.zeros(0)
+    cuts = np.maximum(1, -(-(ends - starts - width + 1) // LONG))
+    if cuts.max() > 1:  # a long span is worked on in parts of LONG windows at once
+        of = np.repeat(np.arange(len(starts)), cuts)
+        head = starts[of] + LONG * (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        out = np.full(len(starts), -1.0)
+        np.maximum.at(out, of, window_entropy(data, head, np.minimum(head + LONG + width - 1, ends[of]), width))
+        return out
     order = np.argsort(starts - ends, kind="stable")  # longest first: the spans that go on are a prefix
     at, size = starts[order], (ends - starts)[order]
     term = np.zeros(width + 2)

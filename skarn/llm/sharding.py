@@ -7,8 +7,10 @@ the documents whose exclusive prefix sum of n_chars falls into the same multiple
 each file covers a small box in every dimension and readers can skip files by any of them.
 
 Defined cases: null source, lang and n_chars sort before all values and a null n_chars has size 0;
-a null doc_id takes cell 0; negative n_chars have size 0; ties and repeated rows share a curve index
-and are ordered by doc_id; other columns aren't read; an empty table gives no rows.
+a null doc_id takes cell 0; doc_ids may span all 64-bit numbers; negative n_chars have size 0, and only
+n_chars tells how long a text is; ties and repeated rows share a curve index and are ordered by doc_id;
+shard() reads no other columns, write_shards() keeps them all, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def curve(docs: DataFrame, bits: int = BITS) -> DataFrame:
     for c in DIMS[:3]:
         cells = _depth_cells(rows, c, bits)
         out = out.join(cells, out[c].eqNullSafe(cells[f"{c}_value"])).drop(f"{c}_value")
-    out = out.crossJoin(ends).withColumn("doc_id_cell", F.coalesce(F.expr(f"((doc_id - lo) * {1 << bits}L) div (hi - lo + 1)").cast("int"), F.lit(0)))
+    out = out.crossJoin(ends).withColumn("doc_id_cell", F.coalesce(F.expr(f"((CAST(doc_id AS decimal(38,0)) - lo) * {1 << bits}) div (CAST(hi AS decimal(38,0)) - lo + 1)").cast("int"), F.lit(0)))
     out = out.select("doc_id", *(f"{c}_cell" for c in DIMS), F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0)).alias("size"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,15 +97,20 @@ def write_shards(docs: DataFrame, path: str, target: int = TARGET, bits: int = B
     """Write the documents as one directory for each shard, sorted along the curve; return the manifest.
 
     The manifest has for each shard the rows and the extremes of every dimension, by which a reader
-    prunes. Rows with equal doc_id go to the shard of the first of them; a null doc_id to shard 0.
+    prunes. Rows with equal doc_id go to the shard of the first of them; a null doc_id to shard 0. The
+    directories' column is `shard`, with as many underscores before it as make it unlike all columns.
     """
-    runs = store(shard(docs, target, bits).groupBy("doc_id").agg(F.min("shard").alias("__shard"), F.min("hilbert").alias("__hilbert")), "hilbert-shards")
-    ids = runs.withColumnRenamed("doc_id", "__id").filter("__id IS NOT NULL")
-    out = docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], "left").drop("__id").withColumn("shard", F.coalesce("__shard", F.lit(0).cast("long")))
-    out.repartition("shard").sortWithinPartitions("shard", "__hilbert", "doc_id").drop("__shard", "__hilbert").write.partitionBy("shard").parquet(path)
-    spec = T.StructType([*docs.schema.fields, T.StructField("shard", T.LongType())])
+    part = "shard"
+    while part in docs.columns:
+        part = "_" + part
+    found = store(shard(docs, target, bits).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("shard").alias("to"), F.min("hilbert").alias("place")), "hilbert-shards")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("r"), F.col("doc_id").cast("long").alias("doc_id"))  # no name can clash with those in the struct
+    out = rows.join(found, "doc_id", "left").withColumn("to", F.coalesce("to", F.lit(0).cast("long")))
+    out = out.repartition("to").sortWithinPartitions("to", "place", "doc_id").select("r.*", F.col("to").alias(part))
+    out.write.partitionBy(part).parquet(path)
+    spec = T.StructType([*docs.schema.fields, T.StructField(part, T.LongType())])
     back = docs.sparkSession.read.schema(spec).parquet(path)
-    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *(f(c).alias(f"{p}_{c}") for c in DIMS for p, f in (("min", F.min), ("max", F.max))))
+    return back.groupBy(F.col(part).alias("shard")).agg(F.count(F.lit(1)).alias("rows"), *(f(c).alias(f"{p}_{c}") for c in DIMS for p, f in (("min", F.min), ("max", F.max))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ exactly the pattern's matches; a test holds it against the regex. The plan:
 
 Pre-tokens are told apart by 64-bit hashes.
 
-Defined cases: a null or empty text has 0 pre-tokens and 0 tokens; a null doc_id is carried through;
+Defined cases: a null or empty text has 0 pre-tokens and 0 tokens; a very long text is counted whole; a null doc_id is carried through;
 repeated rows give repeated rows; special tokens' strings are ordinary text; other columns aren't
 read; an empty table gives no rows.
 """

@@ -5,7 +5,7 @@ term of several words matches whatever separates them. A hit counts only between
 character before and after it, if any, is a space. Overlapping hits all count. A page is rejected
 on one strict hit, or on `min_soft` distinct soft terms.
 
-Defined cases: a null or empty URL has no hits and is kept; repeated rows give repeated rows; a
+Defined cases: a null or empty URL has no hits and is kept; a very long URL is matched whole; repeated rows give repeated rows; a
 null page_id is carried through; other columns are not read; an empty table gives an empty result.
 """
 

@@ -53,3 +53,21 @@ def test_nothing_to_mix(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")
     for d in (docs, docs.limit(0)):
         assert mixing.mix(d).count() == 0 and mixing.mix_documents(d).count() == 0
+
+
+def test_weights_of_zero(spark):
+    docs = spark.createDataFrame([(1, "a", "x y"), (2, "b", "z")], "doc_id long, source string, text string")
+    assert mixing.mix(docs, {"a": 0, "b": 0}, 0).count() == 0 and mixing.mix_documents(docs, {"a": 0, "b": 0}, 0).count() == 0
+    got = mixing.mix(docs, {"a": 0}, 1, total=4).collect()
+    assert [(r.doc_id, r.take_tokens) for r in sorted(got, key=lambda r: r.epoch)] == [(2, 1)] * 4
+
+
+def test_names_of_its_own_columns(spark):
+    names = "__mix_g string, g string, key long, n int, r int, id int, __mix_cut int, e int, o int, due int, copies int"
+    docs = spark.createDataFrame([(i, f"s{i % 2}", "w " * (i + 1), *["v"] * 2, *[7] * 9) for i in range(9)], f"doc_id long, source string, text string, {names}")
+    out = mixing.mix_documents(docs, {"s0": 3}, 1)
+    assert out.columns == docs.columns
+    plain = mixing.mix_documents(docs.select("doc_id", "source", "text"), {"s0": 3}, 1)
+    rows = out.collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+    assert {r["__mix_g"] for r in rows} == {"v"} and {r.due for r in rows} == {7}

@@ -147,3 +147,19 @@ def test_recall_at_the_threshold(spark):
     reach = [i for i, s in want.items() if s >= nd.THRESHOLD]
     assert len(reach) == 200 and max(want[i] for i in reach) < 0.55 and np.mean([got.get(i) == i - 1 for i in reach]) >= 0.98
     assert all(i in want and got[i] == i - 1 for i in got) and sum(want[i] < nd.THRESHOLD for i in got) <= 1
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    same = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, None), (1, None), (1, ""), (2, ""), (2, ""), (None, None), (None, None), (3, same), (3, same), (4, same + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __dup_rank", "2 AS __dup_id", "3 AS id", "4 AS r", "5 AS n")
+    got = nd.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, ""), (1, ""), (2, ""), (3, same)]
+    assert {tuple(r)[2:] for r in got.collect()} == {(1, 2, 3, 4, 5)}
+
+
+def test_a_hub_with_many_neighbours(spark):
+    edges = spark.range(1, 3000).selectExpr("id AS u", "0L AS v").union(spark.range(3001, 3004).selectExpr("id AS u", "id - 1 AS v"))
+    got = {r.u: r.v for r in nd.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(1, 3000), 0), **dict.fromkeys(range(3001, 3004), 3000)}

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +58,50 @@ def test_near_the_optimum(sizes):
     assert len(p.improve(p.best_fit(sizes, 30), sizes, 30)) <= fewest(sizes, 30) + 1
 
 
+def gains(bins, sizes, capacity):
+    """Every move and exchange of one for one, two for one and one for two that would add to the squares."""
+    from itertools import combinations
+
+    out = []
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            fa, fb = (sum(sizes[i] for i in bins[x]) for x in (a, b))
+            if a == b or capacity in (fa, fb):
+                continue
+            for n, m in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                for x in combinations(bins[a], n):
+                    for y in combinations(bins[b], m):
+                        d = sum(sizes[i] for i in x) - sum(sizes[i] for i in y)
+                        if fb + d <= capacity and fa - d >= 0 and (fa - d) ** 2 + (fb + d) ** 2 > fa**2 + fb**2 and d > 0:
+                            out.append((a, b, x, y))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=2, max_size=14), st.integers(2, 6))
+def test_no_exchange_is_left(sizes, per):
+    start = []
+    for i, s in enumerate(sizes):  # a poor packing, so that there is much to exchange
+        if start and len(start[-1]) < per and sum(sizes[j] for j in start[-1]) + s <= 40:
+            start[-1].append(i)
+        else:
+            start.append([i])
+    got = p.improve(start, sizes, 40)
+    assert sorted(i for b in got for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 40 for b in got)
+    assert len(got) == -(-sum(sizes) // 40) or not gains(got, sizes, 40)
+
+
+def test_search_is_fast_where_nothing_fits():
+    rng = np.random.default_rng(3)
+    for low, high in ((1030, 1500), (300, 1500), (500, 1000), (1, 100)):
+        sizes = rng.integers(low, high, 20_000).tolist()
+        at = time.thread_time()
+        bins = p.improve(p.best_fit(sizes, 2048), sizes, 2048)
+        assert time.thread_time() - at < 30
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+
+
 def test_search_empties_a_bin():
     sizes = [6, 4, 5, 5, 4, 3, 3]
     start = [[0], [1, 2], [3, 4], [5, 6]]  # 6, 9, 9, 6 of 10; 30 tokens need three bins
@@ -93,3 +139,18 @@ def test_odd_rows(spark):
     assert sum(r.fill for r in got) == 50_006 and max(r.fill for r in got) == 100
     assert sum(r.doc_ids.count(None) for r in got) == 2 and sum(r.doc_ids.count(5) for r in got) == 2
     assert p.pack(docs.limit(0)).count() == 0 and p.pack(docs.filter("doc_id < 4")).count() == 0
+
+
+def test_bins_of_different_tasks_meet(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 37)) for i in range(400)], "doc_id long, text string")
+    tokens = sum(1 + i % 37 for i in range(400))
+    for per in (1000, 20):
+        rows = p.pack(docs, 100, per).collect()
+        check(rows, {i: 1 + i % 37 for i in range(400)}, 100)
+        assert len(rows) <= -(-tokens // 100) + 2  # 20 tasks that never meet leave one open bin each
+
+
+def test_documents_without_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 90, "doc_id long, text string")
+    rows = p.pack(docs, 10, 20).collect()
+    assert sum(r.fill for r in rows) == 270 and len({r.bin_id for r in rows}) == len(rows) <= 30 + 5  # an open bin for each task at most
