@@ -1,28 +1,36 @@
-"""Operator 8, toxicity: a subsequence string-kernel SVM with Nyström landmarks.
+"""Operator 8, toxicity: a subsequence string-kernel SVM with Nyström landmarks, trained on labelled sentences.
 
 Units are the words of a text without their outer symbols, lower-cased, every other character than a
-letter standing for a gap ('.'); three or more one-letter words in a row also make a unit, so
-i.d.i.o.t, i-d-i-o-t and 'i d i o t' are one. The kernel counts common subsequences of ORDER letters,
-each weighted by DECAY to the power of the spans it takes, and is normalised; gaps match nothing, so
-gapped and inserted-character spellings stay close to the plain one.
-
-Training: sentences of at most MAX_DOCS labelled documents carry their document's label. A sentence
-that several documents share counts for one of them. A unit is a witness if the share of toxic ones
-among the documents of its sentences is significantly above the base rate (binomial tail, corrected
-by Tarone's method for the number of units that can be significant). Witnesses with gapped and inserted-character
-variants against the units of clean sentences, the hardest of which are mined by a first model, train
-a linear SVM (squared hinge) on Nyström features of LANDMARKS. A document's score is the sum of the positive scores of its distinct units, since a
-clean word may look like an insult once but not often; the least sum of a toxic document is the one
-that makes fewest errors on the labelled documents, where flagging a clean one counts twice.
-
-Applying it: one scan sends each task's new units, each distinct unit is scored once, and a second
-scan matches every document's units with the few that are toxic: by a broadcast array if they are
-at most BROADCAST_ROWS, by a shuffle join beyond.
-
-Defined cases: a null or empty text and units of fewer than three letters are not toxic; units longer
-than WIDTH bytes are scored by overlapping windows; without witnesses nothing is toxic; conflicting
-labels of a document count as toxic; null labels are ignored; a null doc_id is carried through;
-repeated rows are reported each; other columns aren't read; an empty table gives no rows.
+letter standing for a gap ('.'); three or more one-letter words in a row, with or without words of
+symbols between them, also make a unit, so i.d.i.o.t, 'i - d - i - o - t' and 'd é b i l' are one. The
+kernel of two units counts common subsequences of ORDER letters, each weighted by DECAY to the power of
+the spans it takes, and is normalised and raised to POWER; gaps match nothing, so gapped and
+inserted-character spellings stay close to the plain one. Two sentences are compared by the sum over
+their units (a convolution kernel), so a sentence's Nyström features are the sum of its units', and the
+SVM's score of a sentence is the sum of its units' scores and the bias. Units that are not NEAR any
+toxic landmark count as 0.
+
+Training: sentences of at most MAX_DOCS labelled documents. A unit is a witness if the share of toxic
+ones among the documents of its sentences is significantly above the base rate (binomial tail, corrected
+by Tarone's method for the number of units that can be significant). Landmarks are witnesses that lie
+apart, as many as it takes to have every witness COVERed by one, and the clean units most like them. The
+SVM (squared hinge) learns from all sentences with units near them: those of clean documents are clean;
+of a toxic document, those with a witness at first, and in each later round the one that scores highest
+and those that score above 0 (a multiple-instance SVM, as the label is the document's); and from gapped,
+doubled and inserted-character spellings of every witness. A document's score is the sum over its
+sentences of what is above 0; the least score of a toxic one is that which makes fewest errors on the
+labelled documents, where flagging a clean one counts twice.
+
+Applying it: one scan sends each task's new units, each distinct unit is scored once, and a second scan
+matches the sentences of every document with the units that score at least TRACE of the bias: by a
+broadcast array if they are at most BROADCAST_ROWS, by a shuffle join beyond.
+
+Defined cases: a null or empty text and units of fewer than three letters are not toxic; a text of any
+length is read whole, a sentence of over LONGEST units in parts of so many; units longer than WIDTH bytes
+are compared by overlapping windows, of which the likest counts; without witnesses nothing is toxic;
+conflicting labels of a document count as toxic; null labels are ignored; a null doc_id is carried
+through; repeated rows are reported each; other columns, whatever their names, aren't read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,47 +47,86 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import BROADCAST_ROWS, mix64, runs, span_hashes, store, table, text_parts
 
+#: Labelled documents that train at most, those of smallest hash.
 MAX_DOCS = 8_000
-#: Units of clean sentences that train the SVM, at most.
-MAX_UNITS = 60_000
-#: Clean units that the first model scores highest and that train the second, and witnesses, at most.
-MAX_HARD, MAX_WITNESSES = 5_000, 300
-ORDER, DECAY = 3, 0.8
-LANDMARKS = 48
+ORDER, DECAY, POWER = 3, 0.8, 3
+#: Similarity from which a unit is near a landmark, and from which a landmark stands for a witness.
+NEAR, COVER = 0.5, 0.7
+#: Clean landmarks.
+CLEAN_LANDMARKS = 24
 WIDTH, STRIDE = 32, 12
+LONGEST = 60
+ROUNDS = 3
+#: Share of the bias under which a unit's score counts as 0.
+TRACE = 0.1
 SIGNIFICANCE = 0.01
 SEEN = 4_000_000
 _LETTER = np.zeros(256, np.bool_)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
-_NORM = np.where(_LETTER, np.arange(256), ord(".")).astype(np.uint8)
 _BLANK = np.zeros(256, np.bool_)
 _BLANK[list(b" \t\n\r\f\v")] = True
+_STOP = np.zeros(256, np.bool_)
+_STOP[list(b".!?")] = True
 _CODE = np.where(_LETTER, np.arange(256), 0).astype(np.uint8)
 
 
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each byte is of a letter, whether it is of white space); Latin-1 and general punctuation are neither."""
+    letter, blank = _LETTER[data], _BLANK[data]
+    if len(data) and int(data.max()) >= 128:
+        for lead, most, spaces in ((0xC2, 1, None), (0xE2, 2, 0x80)):
+            at = np.flatnonzero(data == lead)
+            at = at[at + most < len(data)]
+            if spaces is not None:  # U+2000 to U+206F; other signs of this lead byte stay letters
+                at = at[(data[at + 1] & 0xFE) == 0x80]
+            for k in range(most + 1):
+                letter[at + k] = False
+            thin = at[data[at + 1] == 0xA0] if spaces is None else at[(data[at + 1] == spaces) & ((data[at + 2] <= 0x8A) | (data[at + 2] == 0xAF))]
+            for k in range(most + 1):
+                blank[thin + k] = True
+    return letter, blank
+
+
 def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(normalised bytes, starts, ends) of the units of lower-cased texts, ascending; spelled-out runs last."""
-    s, e = runs(~_BLANK[data], offs)
-    letters = np.flatnonzero(_LETTER[data])
-    if not len(s) or not len(letters):
-        return data, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(letters, s), np.searchsorted(letters, e)
-    count = hi - lo
-    first, last = letters[np.minimum(lo, len(letters) - 1)], letters[np.maximum(hi - 1, 0)] + 1
+    """(normalised bytes, starts, ends) of the units of lower-cased texts; words ascend, then spelled-out runs do."""
+    letter, blank = _letters(data)
+    norm = np.where(letter, data, ord(".")).astype(np.uint8)
+    s, e = runs(~blank, offs)
+    at = np.flatnonzero(letter)
+    if not len(s) or not len(at):
+        return norm, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads = np.concatenate([[0], np.cumsum(letter & ((data & 0xC0) != 0x80))])  # characters, not bytes
+    count = heads[e] - heads[s]
+    lo, hi = np.searchsorted(at, s), np.searchsorted(at, e)
+    first, last = at[np.minimum(lo, len(at) - 1)], at[np.maximum(hi - 1, 0)] + 1
     word = count >= ORDER
-    single = (count == 1) & (data[first] < 128)
-    a, z = runs(single, np.searchsorted(s, offs))
-    spelled = z - a >= 3
-    a, z = a[spelled], z[spelled]
-    return _NORM[data], np.concatenate([first[word], first[a]]), np.concatenate([last[word], last[z - 1]])
+    a, z = runs(count <= 1, np.searchsorted(s, offs))
+    ones = np.flatnonzero(count == 1)
+    lo, hi = np.searchsorted(ones, a), np.searchsorted(ones, z)
+    spelled = hi - lo >= 3
+    a, z = ones[lo[spelled]], ones[hi[spelled] - 1]
+    return norm, np.concatenate([first[word], first[a]]), np.concatenate([last[word], last[z]])
 
 
-def _hashes(norm: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hashes of the units, which never overlap: a spelled-out run holds one-letter words only."""
+def _ordered(norm: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the units in order; they never overlap: a spelled-out run holds no words of three letters."""
     order = np.argsort(s, kind="stable")
-    out = np.empty(len(s), np.uint64)
-    out[order] = span_hashes(norm, s[order], e[order])
-    return out
+    s, e = s[order], e[order]
+    return span_hashes(norm, s, e), s, e
+
+
+def sentences(data: np.ndarray, offs: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Number, ascending over all texts, of the sentence of each unit that starts at s.
+
+    A sentence ends at a line break, at a stop that white space or the text's end follows, and after LONGEST units.
+    """
+    nxt = np.ones(len(data), np.bool_)
+    nxt[:-1] = _BLANK[data[1:]]
+    ends = np.union1d(np.flatnonzero((_STOP[data] & nxt) | (data == 10)) + 1, offs[1:])
+    n = np.searchsorted(ends, s, "right")
+    first = np.flatnonzero(np.diff(n, prepend=-1))
+    inner = (np.arange(len(n)) - np.repeat(first, np.diff(first, append=len(n)))) // LONGEST
+    return np.cumsum((np.diff(n, prepend=-1) != 0) | (np.diff(inner, prepend=0) != 0)) - 1 if len(n) else n
 
 
 def _encode(texts: list[bytes]) -> np.ndarray:
@@ -128,38 +175,61 @@ def self_kernel(u: np.ndarray) -> np.ndarray:
     return level.sum((0, 1), dtype=np.float64)
 
 
+def _likeness(texts: list[bytes], landmarks: np.ndarray) -> np.ndarray:
+    parts, of = [], []
+    for i, t in enumerate(texts):
+        for w in _windows(t):
+            parts.append(w)
+            of.append(i)
+    size = np.array([len(t) for t in parts], np.int64)
+    order, own_at = np.argsort(size, kind="stable"), np.array(of, np.int64)
+    out, norm = np.zeros((len(texts), len(landmarks))), np.sqrt(self_kernel(landmarks))
+    for a in range(0, len(order), 128):  # texts of like length are worked on together
+        at = order[a : a + 128]
+        u = _encode([parts[i] for i in at])
+        own = np.sqrt(self_kernel(u))
+        np.maximum.at(out, own_at[at], np.where(own[:, None] > 0, kernel(u, landmarks) / np.maximum(own[:, None] * norm[None], 1e-30), 0))
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """score = kernel row with the landmarks @ weight + bias."""
+    """score of a unit = powers of its similarities with the landmarks @ weight; the first `toxic` landmarks are the toxic ones."""
 
     landmarks: np.ndarray
+    toxic: int
     weight: np.ndarray
     bias: float
 
-    def similarities(self, texts: list[bytes]) -> np.ndarray:
-        """Normalised kernel with the landmarks; texts of like length are worked on together."""
+    @property
+    def texts(self) -> list[bytes]:
+        """The landmarks as strings, gaps as dots."""
+        return [bytes(np.where(m > 0, m, ord(".")).astype(np.uint8)).rstrip(b".") for m in self.landmarks]
+
+    def similarities(self, texts: list[bytes], near: float | None = None) -> np.ndarray:
+        """Normalised kernel with the landmarks, of a long text the highest over its windows.
+
+        near: those that aren't so similar to a toxic landmark are compared with no others and get 0.
+        """
+        if near is None or self.toxic == len(self.landmarks):
+            return _likeness(texts, self.landmarks)
         out = np.zeros((len(texts), len(self.landmarks)))
-        size = np.array([len(t) for t in texts])
-        order = np.argsort(size, kind="stable")
-        norm = np.sqrt(self_kernel(self.landmarks))
-        for a in range(0, len(order), 128):
-            at = order[a : a + 128]
-            u = _encode([texts[i] for i in at])
-            own = np.sqrt(self_kernel(u))
-            out[at] = np.where(own[:, None] > 0, kernel(u, self.landmarks) / np.maximum(own[:, None] * norm[None], 1e-30), 0)
+        out[:, : self.toxic] = _likeness(texts, self.landmarks[: self.toxic])
+        close = np.flatnonzero(out.max(1, initial=0) >= near)
+        out[close, self.toxic :] = _likeness([texts[i] for i in close], self.landmarks[self.toxic :])
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text, the highest score of its windows."""
-        parts, of = [], []
-        for i, t in enumerate(texts):
-            for a in range(0, max(1, len(t) - WIDTH + STRIDE), STRIDE) if len(t) > WIDTH else (0,):
-                parts.append(t[a : a + WIDTH])
-                of.append(i)
-        out = np.full(len(texts), -np.inf)
-        if parts:
-            np.maximum.at(out, np.array(of), self.similarities(parts) @ self.weight + self.bias)
-        return out
+    def score(self, like: np.ndarray) -> np.ndarray:
+        """Scores of units by their similarities; 0 if no toxic landmark is near."""
+        near = like[:, : self.toxic].max(1, initial=0) >= NEAR
+        return np.where(near, like**POWER @ self.weight, 0.0)
+
+
+def _windows(text: bytes) -> list[bytes]:
+    """The text, or windows of WIDTH bytes that together hold every substring of WIDTH - STRIDE bytes."""
+    if len(text) <= WIDTH:
+        return [text]
+    return [text[a : a + WIDTH] for a in range(0, len(text) - WIDTH + STRIDE, STRIDE)]
 
 
 def _variants(word: bytes) -> list[bytes]:
@@ -167,7 +237,57 @@ def _variants(word: bytes) -> list[bytes]:
     out = [word, b".".join(word[i : i + 1] for i in range(len(word))), b"..".join(word[i : i + 1] for i in range(len(word)))]
     for i in range(1, len(word)):
         out += [word[:i] + b"." + word[i:], word[:i] + word[i - 1 : i] + word[i:], word[:i] + b"x" + word[i:]]
-    return out
+    return list(dict.fromkeys(out))
+
+
+def _plain(marks: list[bytes]) -> Model:
+    return Model(_encode(marks), len(marks), np.zeros(len(marks)), 0.0)
+
+
+def _apart(texts: list[bytes], cover: float, most: int | None = None) -> list[bytes]:
+    """Of the texts, the first, then always the one least like those chosen, until all are at least `cover` like one, or `most` are chosen."""
+    if not texts:
+        return []
+    chosen, like = [0], _plain([texts[0]]).similarities(texts)[:, 0]
+    while (most is None or len(chosen) < most) and like.min() < cover:
+        chosen.append(int(np.argmin(like)))
+        like = np.maximum(like, _plain([texts[chosen[-1]]]).similarities(texts)[:, 0])
+    return [texts[i] for i in chosen]
+
+
+def fit(marks: Model, units_: np.ndarray, sent: np.ndarray, unit: np.ndarray, doc: np.ndarray, toxic: np.ndarray, witness: np.ndarray, spelled: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The SVM over sentences. units_: similarities of the units; (sent, unit): the units of each sentence; doc, toxic: of each sentence; witness: of each unit; spelled: similarities of the witnesses' spellings."""
+    value, vector = np.linalg.eigh(marks.similarities(marks.texts) ** POWER)
+    good = value > 1e-6
+    project = vector[:, good] / np.sqrt(value[good])
+    n = len(doc)
+    x = np.zeros((n, project.shape[1]))
+    near = units_[:, : marks.toxic].max(1, initial=0) >= NEAR
+    z = np.where(near[:, None], units_**POWER @ project, 0.0)
+    np.add.at(x, sent, z[unit])
+    bad = np.where(spelled[:, : marks.toxic].max(1, initial=0)[:, None] >= NEAR, spelled**POWER @ project, 0.0)
+    has = np.zeros(n, np.bool_)
+    has[sent[witness[unit]]] = True
+    chosen, clean = has & (toxic == 1), np.flatnonzero(toxic == 0)
+    w = np.zeros(x.shape[1] + 1)
+    for r in range(rounds):
+        if r:
+            score = x @ w[:-1] + w[-1]
+            order = np.lexsort((score, doc))
+            top = order[np.append(doc[order][1:] != doc[order][:-1], True)] if n else order
+            again = np.zeros(n, np.bool_)
+            again[top] = True
+            again = (again & has | (score > 0)) & (toxic == 1)
+            if (again == chosen).all():
+                break
+            chosen = again
+        own = x[chosen]
+        rows = np.concatenate([own, bad, x[clean], np.zeros((1, x.shape[1]))])
+        y = np.concatenate([np.ones(len(own) + len(bad)), -np.ones(len(clean) + 1)])
+        pos = max(1.0, 0.05 * len(clean) / max(1, len(own) + len(bad)))
+        weight = np.concatenate([np.full(len(own) + len(bad), pos), np.ones(len(clean)), [max(10.0, 0.1 * len(clean))]])  # the last is the sentence without any unit that matters
+        w = _svm(rows, y, weight)
+    return Model(marks.landmarks, marks.toxic, project @ w[:-1], float(w[-1]))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
@@ -184,60 +304,18 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> n
     return w
 
 
-def _apart(texts: list[bytes], n: int) -> list[bytes]:
-    """n of the texts: the first, then always the one least like those chosen."""
-    cut = [t[:WIDTH] for t in texts]
-    like = lambda i: Model(_encode([cut[i]]), np.ones(1), 0.0).similarities(cut)[:, 0]
-    chosen, most = [0], like(0)
-    while len(chosen) < min(n, len(texts)):
-        chosen.append(int(np.argmin(most)))
-        most = np.maximum(most, like(chosen[-1]))
-    return [texts[i] for i in dict.fromkeys(chosen)]
-
-
-def fit(witnesses: list[bytes], clean: list[bytes], hard: list[bytes], landmarks: int = LANDMARKS) -> Model:
-    """Nyström features over witnesses that lie apart, hard clean units and others, then the SVM.
-
-    hard: clean units that an earlier model scores highest; they count five times.
-    """
-    witnesses = witnesses[:MAX_WITNESSES]
-    known = {w[:WIDTH] for w in witnesses}
-    clean = [c for c in clean if len(c) <= WIDTH and c not in known]
-    hard = [c for c in hard if len(c) <= WIDTH and c not in known]
-    heads = _apart(witnesses, landmarks // 2)
-    near = _apart(hard, landmarks // 4) if hard else []
-    far = clean[:: max(1, len(clean) // (landmarks - len(heads) - len(near)))][: landmarks - len(heads) - len(near)]
-    marks = list(dict.fromkeys(m[:WIDTH] for m in [*heads, *near, *far]))
-    model = Model(_encode(marks), np.zeros(len(marks)), 0.0)
-    value, vector = np.linalg.eigh(model.similarities(marks))
-    good = value > 1e-6
-    project = vector[:, good] / np.sqrt(value[good])
-    bad = list(dict.fromkeys(v[:WIDTH] for w in witnesses for v in _variants(w)))
-    raw = model.similarities(bad + clean + hard)
-    y = np.concatenate([np.ones(len(bad)), -np.ones(len(clean) + len(hard))])
-    weight = np.concatenate([np.full(len(bad), max(1.0, 0.05 * len(clean) / len(bad))), np.ones(len(clean)), np.full(len(hard), 5.0)])
-    w = _svm(raw @ project, y, weight)
-    return Model(model.landmarks, project @ w[:-1], float(w[-1]))
-
-
 def _labelled_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    stop = np.zeros(256, np.bool_)
-    stop[list(b".!?\n")] = True
     for b in batches:
         label = b.column(1).to_numpy(zero_copy_only=False)
         for a, _, data, offs in text_parts(pc.utf8_lower(b.column(0))):
             norm, s, e = units(data, offs)
-            order = np.argsort(s, kind="stable")
-            s, e = s[order], e[order]
-            # A sentence ends at a stop that white space or the text's end follows.
-            nxt = np.ones(len(data), np.bool_)
-            nxt[:-1] = _BLANK[data[1:]]
-            ends = np.union1d(np.flatnonzero(stop[data] & nxt) + 1, offs[1:])
-            sent = np.searchsorted(ends, s, "right")
+            h, s, e = _ordered(norm, s, e)
             if len(s):
-                h = span_hashes(norm, s, e)
+                sent = sentences(data, offs, s)
                 first = np.flatnonzero(np.diff(sent, prepend=-1))
-                sid = np.repeat(mix64(np.add.reduceat(mix64(h + np.arange(len(h), dtype=np.uint64) - np.repeat(first, np.diff(first, append=len(h))).astype(np.uint64)), first)), np.diff(first, append=len(h)))
+                many = np.diff(first, append=len(h))
+                place = (np.arange(len(h)) - np.repeat(first, many)).astype(np.uint64)
+                sid = np.repeat(mix64(np.add.reduceat(mix64(h + place), first)), many)
                 doc = np.searchsorted(offs, s, "right") - 1 + a
                 raw = norm.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), pa.array([raw[x:y].decode() for x, y in zip(s.tolist(), e.tolist(), strict=True)]), pa.array(label[doc].astype(np.int32)), b.column(2).take(pa.array(doc))], names=["sid", "unit", "toxic", "doc"])
@@ -276,32 +354,68 @@ def _threshold(sums: np.ndarray, toxic: np.ndarray) -> float:
     return max(1e-6, float((max(low, 0.0) + high) / 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_units: int = MAX_UNITS) -> tuple[Model, float] | None:
-    """The model of units and the least sum of a toxic document; None if no unit is a witness."""
-    seen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
-    sample = F.broadcast(store(seen.orderBy(F.xxhash64("__id"), "__id").limit(max_docs), "toxic-labels"))  # max_docs bounds it
-    rows = docs.join(sample, F.col("doc_id").cast("long") == F.col("__id")).select("text", "__toxic", "__id")
-    every = rows.mapInArrow(_labelled_sentences, "sid long, unit string, toxic int, doc long").groupBy("sid", "unit").agg(F.min(F.struct("doc", "toxic")).alias("s"))
-    every = store(every.groupBy("unit", F.col("s.doc").alias("doc")).agg(F.max("s.toxic").alias("toxic")), "toxic-pairs")
-    counts = store(every.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "toxic-units")
-    total = sample.agg(F.sum("__toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
+def _measured(rows: DataFrame, model: Model, near: float) -> DataFrame:
+    """(unit, like) of the units whose similarity with a toxic landmark is at least `near`."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.landmarks, model.toxic, model.weight, model.bias))  # of the size of the landmarks
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                names = b.column(0).slice(at, 4096)
+                like = own.similarities([u.encode() for u in names.to_pylist()], near)
+                hit = like[:, : own.toxic].max(1, initial=0) >= near
+                like = like[hit]
+                yield pa.RecordBatch.from_arrays([names.filter(pa.array(hit)), pa.ListArray.from_arrays(pa.array(np.arange(0, like.size + 1, max(1, like.shape[1]), dtype=np.int32)), pa.array(like.ravel()))], names=["unit", "like"])
+
+    return rows.select("unit").mapInArrow(go, "unit string, like array<double>")
+
+
+def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
+    return col.combine_chunks().flatten().to_numpy().reshape(-1, width) if len(col) else np.zeros((0, width))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[Model, float] | None:
+    """The model of units and the least score of a toxic document; None if no unit is a witness."""
+    seen = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
+    sample = F.broadcast(store(seen.orderBy(F.xxhash64("id"), "id").limit(max_docs), "toxic-labels"))  # max_docs bounds it
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sample, "id").select("text", "y", "id")
+    every = store(rows.mapInArrow(_labelled_sentences, "sid long, unit string, toxic int, doc long").groupBy("sid", "unit").agg(F.min(F.struct("doc", "toxic")).alias("s")).select("sid", "unit", "s.doc", "s.toxic"), "toxic-sentences")
+    counts = store(every.groupBy("unit", "doc").agg(F.max("toxic").alias("toxic")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "toxic-units")
+    total = sample.agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not total["t"] or total["t"] == total["n"]:
         return None
     rate = total["t"] / total["n"]
     least, tested = _testable({r["n"]: r["units"] for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("units")).collect()}, rate)  # max_docs bounds it
-    some = counts.filter((F.col("n") >= least) & (F.col("t") > 0.5 * F.col("n"))).toPandas()
+    some = counts.filter((F.col("n") >= least) & (F.col("t") > 0.5 * F.col("n"))).toPandas()  # the labelled documents bound it, as all that follows
     some = some[_tail(some["t"].to_numpy(float), some["n"].to_numpy(float), rate) * tested < SIGNIFICANCE].sort_values(["t", "unit"], ascending=[False, True])
     if not len(some):
         return None
-    usual = counts.filter("t <= 0.5 * n").select("unit")
-    clean = [u.encode() for u in usual.orderBy(F.xxhash64("unit"), "unit").limit(max_units).toArrow().column(0).to_pylist()]
     witnesses = [u.encode() for u in some["unit"]]
-    first = fit(witnesses, clean, [])
-    hard = _scored(usual.withColumn("h", F.lit(0).cast("long")).select("h", "unit"), first, -1.0).orderBy(F.desc("score"), "unit").limit(MAX_HARD)
-    model = fit(witnesses, clean, [u.encode() for u in hard.select("unit").toArrow().column(0).to_pylist()])
-    bad = _scored(counts.select(F.lit(0).cast("long").alias("h"), "unit"), model, 0.0).select("unit", "score")
-    sums = every.join(bad, "unit", "left").groupBy("doc").agg(F.max("toxic").alias("toxic"), F.sum(F.coalesce("score", F.lit(0.0))).alias("s")).toPandas()  # max_docs bounds it
-    return model, _threshold(sums["s"].to_numpy(), sums["toxic"].to_numpy())
+    heads = _apart([w for u in witnesses for w in _windows(u)], COVER)
+    usual = counts.filter("t <= 0.5 * n")
+    alike = _measured(usual, _plain(heads), NEAR).withColumn("most", F.array_max("like")).orderBy(F.desc("most"), "unit").limit(50 * CLEAN_LANDMARKS)  # to choose landmarks from, not to train on
+    tails = _apart([w for u in alike.select("unit").toArrow().column(0).to_pylist() for w in _windows(u.encode())], 0.95, CLEAN_LANDMARKS)
+    tails = [t for t in dict.fromkeys(tails) if t not in set(heads)]
+    marks = Model(_encode([*heads, *tails]), len(heads), np.zeros(len(heads) + len(tails)), 0.0)
+    near = store(_measured(counts, marks, NEAR), "toxic-near")
+    table_ = near.orderBy("unit").toArrow()
+    names, like = table_.column(0).to_pylist(), _matrix(table_.column(1), len(marks.landmarks))
+    number = {u: i for i, u in enumerate(names)}
+    pairs = every.join(near.select("unit"), "unit").orderBy("sid", "unit").toPandas()
+    sid, sent = np.unique(pairs["sid"].to_numpy(), return_inverse=True)
+    doc, toxic = np.zeros(len(sid), np.int64), np.zeros(len(sid), np.int64)
+    doc[sent], toxic[sent] = pairs["doc"].to_numpy(), pairs["toxic"].to_numpy()
+    known = set(witnesses)
+    spelled = marks.similarities([v for w in witnesses for v in _variants(w)])
+    model = fit(marks, like, sent, pairs["unit"].map(number).to_numpy(np.int64), doc, toxic, np.array([u.encode() in known for u in names], np.bool_), spelled)
+    of = model.score(like)[pairs["unit"].map(number).to_numpy(np.int64)]
+    of = np.where(of >= TRACE * -model.bias, of, 0.0)
+    score = np.maximum(np.bincount(sent, of, len(sid)) + model.bias, 0)
+    ids, back = np.unique(doc, return_inverse=True)
+    sums, is_toxic = np.bincount(back, score, len(ids)), np.zeros(len(ids), np.int64)
+    np.maximum.at(is_toxic, back, toxic)
+    return model, _threshold(sums, is_toxic)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +423,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, data, offs in text_parts(pc.utf8_lower(b.column(0)), 1 << 22):
             norm, s, e = units(data, offs)
-            h, first = np.unique(_hashes(norm, s, e), return_index=True)
+            h, s, e = _ordered(norm, s, e)
+            h, first = np.unique(h, return_index=True)
             if len(seen):
                 new = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h
                 h, first = h[new], first[new]
@@ -322,24 +437,26 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), text], names=["h", "unit"])
 
 
-def _scored(rows: DataFrame, model: Model, above: float) -> DataFrame:
-    """(h, unit, score) of the units that score above a bound."""
-    shared = rows.sparkSession.sparkContext.broadcast((model.landmarks, model.weight, model.bias))  # of a fixed size
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(h, unit, score) of the units that count in a sentence."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.landmarks, model.toxic, model.weight, model.bias))  # of the size of the landmarks
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for b in batches:
-            f = own.score([u.encode() for u in b.column(1).to_pylist()])
-            hit = pa.array(f > above)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit), pa.array(np.round(f, 6)).filter(hit)], names=["h", "unit", "score"])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                f = np.round(own.score(own.similarities([u.encode() for u in part.column(1).to_pylist()], NEAR)), 6)
+                hit = pa.array((f > 0) & (f >= TRACE * -own.bias))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit), pa.array(f).filter(hit)], names=["h", "unit", "score"])
 
     return rows.mapInArrow(go, "h long, unit string, score double")
 
 
 def toxic_units(docs: DataFrame, model: Model) -> DataFrame:
-    """(h, unit, score) of the distinct units of the documents that are toxic."""
+    """(h, unit, score) of the distinct units of the documents that count in a sentence."""
     distinct = docs.select("text").mapInArrow(_distinct, "h long, unit string").groupBy("h", "unit").count().select("h", "unit")
-    return _scored(distinct, model, 0.0)
+    return _scored(distinct, model)
 
 
 def _document_units(shared):
@@ -349,19 +466,20 @@ def _document_units(shared):
         for b in batches:
             for a, z, data, offs in text_parts(pc.utf8_lower(b.column(1))):
                 norm, s, e = units(data, offs)
-                h = _hashes(norm, s, e)
+                h, s, e = _ordered(norm, s, e)
+                sent = sentences(data, offs, s)
                 if keys is not None and len(h):
                     hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-                    s, h = s[hit], h[hit]
+                    s, h, sent = s[hit], h[hit], sent[hit]
                 doc = np.searchsorted(offs, s, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(rid + doc), b.column(0).take(pa.array(doc + a)), pa.array(h.view(np.int64))], names=["rid", "doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid + doc), b.column(0).take(pa.array(doc + a)), pa.array(sent.astype(np.int64)), pa.array(h.view(np.int64))], names=["rid", "doc_id", "sent", "h"])
                 rid += z - a
 
     return go
 
 
 def find_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, most: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, hits, score) of the toxic documents: distinct toxic units in the text, and the sum of their scores."""
+    """(doc_id, hits, score) of the toxic documents: toxic units in the text, counted in each sentence, and the sum over its sentences of what is above 0."""
     schema = "doc_id long, hits long, score double"
     trained = train(docs, labels, max_docs)
     if trained is None:
@@ -374,10 +492,11 @@ def find_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, mos
     few = n <= most
     keys = np.sort(bad.select("h").toArrow().column(0).to_numpy().view(np.uint64)) if few else None
     shared = docs.sparkSession.sparkContext.broadcast(keys)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_document_units(shared), "rid long, doc_id long, h long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_document_units(shared), "rid long, doc_id long, sent long, h long")
     side = bad.select("h", "score")
-    hits = rows.join(F.broadcast(side) if few else side, "h").groupBy("rid", "h").agg(F.max("doc_id").alias("doc_id"), F.max("score").alias("score"))
-    sums = hits.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("hits"), F.sum("score").alias("score"))
+    hits = rows.join(F.broadcast(side) if few else side, "h").groupBy("rid", "sent", "h").agg(F.max("doc_id").alias("doc_id"), F.max("score").alias("score"))
+    said = hits.groupBy("rid", "sent").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("hits"), (F.sum("score") + model.bias).alias("score")).filter("score > 0")
+    sums = said.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("hits").alias("hits"), F.sum("score").alias("score"))
     return sums.filter(F.col("score") >= least).drop("rid")
 
 
