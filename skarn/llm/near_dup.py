@@ -39,6 +39,8 @@ PERMS, ROWS, SHINGLE = 72, 3, 3
 THRESHOLD = 0.5
 #: Over three standard errors of the estimate at the threshold (0.042).
 MARGIN = 0.14
+#: Ids of open pairs that are broadcast at most, some 40 MB.
+IDS = 1_000_000
 _SEEDS = np.random.default_rng(7)
 _A = _SEEDS.integers(0, 2**32, PERMS, dtype=np.uint32) | np.uint32(1)
 _B = _SEEDS.integers(0, 2**32, PERMS, dtype=np.uint32)
@@ -266,7 +268,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_pairs(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose exact sets of shingles reach the threshold; of rows that repeat a doc_id any pair counts."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    # Counted, so that texts are shuffled only where the open pairs are too many to broadcast.
+    ids = small(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "minhash-ids", IDS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''").join(ids, "doc_id", "left_semi")
     sets = store(rows.mapInArrow(_sets, "doc_id long, set array<long>").withColumn("set", F.array_distinct("set")), "minhash-sets")
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
