@@ -307,7 +307,7 @@ def packed(c: ColumnOrName, sep: str = "@") -> Column:
 
 def json_fields(c: ColumnOrName, schema: str) -> Column:
     """Fields of a JSON text; null for a text that isn't such an object."""
-    return F.from_json(_c(c), schema, {"mode": "PERMISSIVE"})
+    return F.when(F.try_parse_json(_c(c)).isNotNull() & F.trim(_c(c)).startswith("{"), F.from_json(_c(c), schema, {"mode": "PERMISSIVE"}))
 
 
 def recent(ts: ColumnOrName, now: ColumnOrName, minutes: int = 120) -> Column:

@@ -75,7 +75,7 @@ def schema_drift(declared: DataFrame, actual: DataFrame) -> DataFrame:
     Status: absent_table, absent_column, family_mismatch; objects without drift give no row.
     """
     tables = actual.select("object").distinct().withColumn("there", F.lit(True))
-    found = declared.join(F.broadcast(tables), "object", "left").join(actual.withColumnRenamed("type", "actual_type"), ["object", "column"], "left")
+    found = declared.join(tables, "object", "left").join(actual.withColumnRenamed("type", "actual_type"), ["object", "column"], "left")
     status = F.when(F.col("there").isNull(), "absent_table").when(F.col("actual_type").isNull(), "absent_column").when(C.type_family("type") != C.type_family("actual_type"), "family_mismatch")
     return found.select("object", "column", "type", "actual_type", status.alias("status")).filter("status IS NOT NULL")
 

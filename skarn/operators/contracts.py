@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.functions import columns as C
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -22,6 +24,7 @@ class Rule:
     members: tuple = ()
     severity: str = "error"
     columns: tuple[str, ...] = field(default=())
+    threshold: str | None = None
 
 
 def rules_of(contract: Mapping) -> list[Rule]:
@@ -54,7 +57,8 @@ def _quality(cid: str, obj: str, col: str, q: Mapping, keys: tuple[str, ...] = (
         return Rule(cid, obj, col, "range", lo, hi, severity=severity)
     if kind == "uniqueness":
         return Rule(cid, obj, col, "unique", severity=severity, columns=(col,) if col else keys)
-    return Rule(cid, obj, col, kind, severity=severity) if kind in ("freshness", "completeness", "documented") else None
+    limit = q.get("threshold") or q.get("mustBeLessThan")
+    return Rule(cid, obj, col, kind, severity=severity, columns=(col,) if col else keys, threshold=str(limit) if limit is not None and kind == "freshness" else None) if kind in ("freshness", "completeness", "documented") else None
 
 
 def _violated(r: Rule):
@@ -79,6 +83,54 @@ def check_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return sums.select("n_rows", F.explode(F.array(*items)).alias("r")).select("r.rule", "r.column", "r.severity", "n_rows", "r.violations")
 
 
+def run(tables: Mapping[str, DataFrame], rules: Sequence[Rule], expected: Mapping[str, DataFrame] | None = None, now: Column | None = None) -> DataFrame:
+    """Q01-Q08: one row for each rule: (object, column, rule, severity, n_rows, violations, status).
+
+    Range, set and required rules of a table share one scan. A unique rule counts the rows that are
+    beyond the first of their key. A freshness rule compares the newest value of its column with `now`
+    and violates once beyond its threshold, or without any value. A completeness rule counts the keys of
+    expected[object] that the table lacks. status is 'ok', 'violated', 'no table', or 'documented' for what isn't executable.
+    """
+    spec = "object string, column string, rule string, severity string, n_rows long, violations long, status string"
+    spark, parts = SparkSession.active(), []
+    by: dict[str, list[Rule]] = {}
+    for r in rules:
+        by.setdefault(r.object, []).append(r)
+
+    def row(df: DataFrame, r: Rule, bad: Column) -> DataFrame:
+        name = r.column or ",".join(r.columns)
+        return df.select(F.lit(r.object).alias("object"), F.lit(name).alias("column"), F.lit(r.kind).alias("rule"), F.lit(r.severity).alias("severity"), "n_rows", bad.alias("violations"))
+
+    for obj, own in by.items():
+        df = tables.get(obj)
+        if df is None:
+            parts.append(spark.createDataFrame([(obj, r.column or ",".join(r.columns), r.kind, r.severity, None, None, "no table") for r in own], spec))
+            continue
+        done = check_rows(df, own).select(F.lit(obj).alias("object"), "column", "rule", "severity", "n_rows", "violations")
+        for r in own:
+            if r.kind == "unique" and r.columns:
+                n = df.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("bad"))
+                done = done.unionByName(row(n, r, F.col("bad")))
+            elif r.kind == "freshness" and r.threshold and now is not None:
+                n = df.agg(F.count(F.lit(1)).alias("n_rows"), F.max(C.as_timestamp(r.column)).alias("newest"))
+                late = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("newest")) > C.threshold_seconds(F.lit(r.threshold)) * 1_000_000
+                done = done.unionByName(row(n, r, F.coalesce(late, F.lit(True)).cast("long")))
+            elif r.kind == "completeness" and expected and obj in expected:
+                keys = list(r.columns) or [r.column]
+                missing = expected[obj].select(*keys).distinct().join(df.select(*keys).distinct(), keys, "left_anti").agg(F.count(F.lit(1)).alias("bad"))
+                done = done.unionByName(row(missing.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n_rows")))), r, F.col("bad")))  # one row each
+        status = F.when(F.col("violations") > 0, "violated").otherwise("ok")
+        parts.append(done.withColumn("status", status))
+        ran = [r for r in own if r.kind in ("range", "set", "required") or (r.kind == "unique" and r.columns) or (r.kind == "freshness" and r.threshold and now is not None) or (r.kind == "completeness" and expected and obj in expected)]
+        rest = [(obj, r.column or ",".join(r.columns), r.kind, r.severity, None, None, "documented") for r in own if r not in ran]
+        if rest:
+            parts.append(spark.createDataFrame(rest, spec))
+    out = spark.createDataFrame([], spec)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Q03: keys that occur more than once, with their count."""
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.functions import columns as C
-from skarn.plans.scratch import keep
+from skarn.plans.scratch import discard, keep
 
 MODULE = "<module>"
 HIERARCHY, STATIC, IMPORTED, LOCAL, UNIQUE, MEMBER, AMBIGUOUS = 0.95, 0.90, 0.95, 0.90, 0.75, 0.60, 0.35
@@ -34,13 +34,11 @@ def relative_module(module: str, level: int, file_dir: str) -> str:
 
 
 def _receiver(fn: ast.expr) -> tuple[str, str, str]:
-    """(callee, receiver kind, receiver class) of a called expression."""
+    """(callee, receiver kind, receiver class) of a called expression; super() is a member like any other."""
     if isinstance(fn, ast.Attribute):
         base = fn.value
         if isinstance(base, ast.Name) and base.id == "self":
             return fn.attr, "this", ""
-        if isinstance(base, ast.Call) and isinstance(base.func, ast.Name) and base.func.id == "super":
-            return fn.attr, "parent", ""
         return fn.attr, "member", ""
     return (fn.id, "free", "") if isinstance(fn, ast.Name) else ("", "free", "")
 
@@ -112,26 +110,48 @@ def _only(df: DataFrame, key: list[str], col: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min(col).alias(col)).filter("__n = 1").drop("__n")
 
 
-def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(class, ancestor, order): each class itself and the classes above it, depth first.
+def _classes(nodes: DataFrame) -> DataFrame:
+    """One class for each full name of a language, the last by id; its bases and methods count."""
+    rows = nodes.filter("kind = 'class'").select("lang", "fqn", F.struct("id", "ns", "name", "repo", "path", "bases").alias("c"))
+    return rows.groupBy("lang", "fqn").agg(F.max_by("c", "c.id").alias("c")).select("lang", "fqn", F.col("c.id").alias("class"), "c.ns", "c.name", "c.repo", "c.path", "c.bases")
 
-    A base is the class of its full name in the same language and namespace, else the only class of that last name in the
-    language. `order` sorts like a depth-first walk; a path never comes back to a class on it.
+
+def _class_lookup(asked: DataFrame, classes: DataFrame, imports: DataFrame, name: str, out: str) -> DataFrame:
+    """Asked (repo, path, lang, ns, and a name) with the class it means, if any.
+
+    The full name under which the file imports it, else the name in its own namespace, else the name as
+    a full name, else the only class of the language with that last name.
+    """
+    known = classes.select("lang", "fqn", "class")
+    stages = [("ns", C.full_name("ns", name)), ("own", F.col(name))]
+    rows = asked.join(imports.filter("fqn IS NOT NULL").groupBy("repo", "path", F.col("callee").alias(name)).agg(F.max("fqn").alias("__imported")), ["repo", "path", name], "left")
+    for stage, key in [("imported", F.col("__imported")), *stages]:
+        rows = rows.withColumn("fqn", key).join(known.withColumnRenamed("class", f"__{stage}_class"), ["lang", "fqn"], "left").drop("fqn")
+    last = _only(classes.withColumn("last", F.regexp_extract("fqn", r"([^.\\\\]*)$", 1)), ["lang", "last"], "class").select("lang", F.col("last").alias(name), F.col("class").alias("__last_class"))
+    rows = rows.join(last, ["lang", name], "left")
+    return rows.withColumn(out, F.coalesce("__imported_class", "__ns_class", "__own_class", "__last_class")).drop("__imported", "__imported_class", "__ns_class", "__own_class", "__last_class")
+
+
+def _imports(facts: DataFrame) -> DataFrame:
+    return facts.filter("fact = 'import'").select("repo", "path", F.col("alias").alias("callee"), F.col("name").alias("original"), F.regexp_replace("rel", "^/+", "").alias("rel"), "fqn")
+
+
+def ancestors(nodes: DataFrame, imports: DataFrame) -> DataFrame:
+    """(class, ancestor, order): each class itself and all classes above it, depth first.
+
+    `order` sorts like a depth-first walk; a path never comes back to a class on it, so it ends.
     """
-    classes = nodes.filter("kind = 'class'").select(F.col("id").alias("class"), "ns", "lang", "name", "fqn", F.col("bases"))
-    by_fqn, by_last = _only(classes, ["lang", "fqn"], "class"), _only(classes, ["lang", "name"], "class")
-    bases = classes.select("class", "ns", "lang", F.posexplode("bases").alias("pos", "base")).withColumn("base_fqn", C.full_name("ns", "base"))
-    a, b = by_fqn.select("lang", F.col("fqn").alias("base_fqn"), F.col("class").alias("b1")), by_last.select("lang", F.col("name").alias("base"), F.col("class").alias("b2"))
-    up = keep(bases.join(a, ["lang", "base_fqn"], "left").join(b, ["lang", "base"], "left").select("class", "pos", F.coalesce("b1", "b2").alias("above")).filter("above IS NOT NULL"), "graph-bases")
+    classes = keep(_classes(nodes), "graph-classes")
+    bases = classes.select("class", "repo", "path", "ns", "lang", F.posexplode("bases").alias("pos", "base"))
+    up = keep(_class_lookup(bases, classes, imports, "base", "above").select("class", "pos", "above").filter("above IS NOT NULL"), "graph-bases")
     out = classes.select("class", F.col("class").alias("ancestor"), F.array().cast("array<int>").alias("order"), F.array("class").alias("path"))
     front = out
-    for _ in range(depth):
+    while True:
         step = front.alias("f").join(up.withColumnRenamed("class", "at"), F.col("f.ancestor") == F.col("at")).filter(~F.array_contains("path", F.col("above")))
         front = keep(step.select("f.class", F.col("above").alias("ancestor"), F.concat("order", F.array("pos")).alias("order"), F.concat("path", F.array("above")).alias("path")), "graph-up")
         if front.isEmpty():
-            break
+            return out.drop("path")
         out = out.unionByName(front)
-    return out.drop("path")
 
 
 def resolve(facts: DataFrame, fanout: int = MAX_FANOUT, frequency: int = MAX_FREQUENCY) -> tuple[DataFrame, DataFrame]:
@@ -147,29 +167,31 @@ def resolve(facts: DataFrame, fanout: int = MAX_FANOUT, frequency: int = MAX_FRE
     calls = calls.withColumn("qname", F.when(F.col("caller") == "", F.lit(MODULE)).otherwise(F.col("caller"))).join(own, ["repo", "path", "qname"], "left")
     calls = keep(calls.filter("src IS NOT NULL").withColumn("call", F.monotonically_increasing_id()), "graph-calls")
     methods = nodes.filter("kind IN ('method', 'function') AND contains(qname, '.')").select("repo", "path", F.expr("left(qname, length(qname) - length(name) - 1)").alias("class_q"), F.col("name").alias("callee"), F.col("id").alias("dst"))
-    class_id = nodes.filter("kind = 'class'").select("repo", "path", F.col("qname").alias("class_q"), F.col("id").alias("cls")).dropDuplicates(["repo", "path", "class_q"])
-    methods = methods.join(class_id, ["repo", "path", "class_q"]).groupBy("cls", "callee").agg(F.max("dst").alias("dst"))
-    above = ancestors(nodes)
+    imports = _imports(facts)
+    above = keep(ancestors(nodes, imports), "graph-ancestors")
+    classes = above.filter("size(order) = 0").select(F.col("class").alias("id"))
+    own_class = nodes.filter("kind = 'class'").select("repo", "path", F.col("qname").alias("class_q"), "lang", "fqn").dropDuplicates(["repo", "path", "class_q"])
+    kept = nodes.join(classes, "id", "left_semi").select("id", "repo", "path", "lang", "fqn", "ns", "name", "qname")
+    class_id = own_class.join(kept.select("lang", "fqn", F.col("id").alias("cls")), ["lang", "fqn"]).select("repo", "path", "class_q", "cls")
+    methods = methods.join(kept.select("repo", "path", F.col("qname").alias("class_q"), F.col("id").alias("cls")), ["repo", "path", "class_q"]).groupBy("cls", "callee").agg(F.max("dst").alias("dst"))
     reach = above.join(methods, F.col("ancestor") == F.col("cls")).select("class", "callee", "dst", "order")
     first = reach.groupBy("class", "callee").agg(F.min_by("dst", "order").alias("dst"), F.min_by("dst", F.when(F.size("order") > 0, F.col("order"))).alias("parent_dst"))
     mine = calls.filter("rkind IN ('this', 'self', 'parent') AND class <> ''").join(class_id.withColumnRenamed("class_q", "class_name"), (calls["repo"] == class_id["repo"]) & (calls["path"] == class_id["path"]) & (calls["class"] == F.col("class_name"))).select("call", "src", "rkind", calls["callee"], F.col("cls").alias("class"))
     mine = mine.join(first, ["class", "callee"]).withColumn("to", F.when(F.col("rkind") == "parent", F.col("parent_dst")).otherwise(F.col("dst")))
     steps = [mine.filter("to IS NOT NULL AND to <> src").select("call", "src", F.col("to").alias("dst"), F.lit(1).alias("step"), F.lit(HIERARCHY).alias("conf"))]
     real = nodes.filter("kind <> 'module'")
-    by_class = _only(nodes.filter("kind = 'class'"), ["lang", "name"], "id").select("lang", F.col("name").alias("rclass"), F.col("id").alias("dst"))
-    made = calls.filter("rkind IN ('static', 'new') AND rclass <> ''").drop("class").join(by_class.withColumnRenamed("dst", "class"), ["lang", "rclass"])
+    made = _class_lookup(calls.filter("rkind IN ('static', 'new') AND rclass <> ''").drop("class"), kept.withColumnRenamed("id", "class"), imports, "rclass", "class").filter("class IS NOT NULL")
     made = made.withColumn("wanted", F.when(F.col("rkind") == "new", "__construct").otherwise(F.col("callee"))).drop("callee").join(first.select("class", F.col("callee").alias("wanted"), F.col("dst").alias("method")), ["class", "wanted"], "left")
     made = made.withColumn("dst", F.coalesce("method", F.when(F.col("rkind") == "new", F.col("class"))))
     steps.append(made.filter("dst IS NOT NULL AND dst <> src").select("call", "src", "dst", F.lit(3).alias("step"), F.lit(STATIC).alias("conf")))
     free = calls.filter("rkind = 'free'")
-    imports = facts.filter("fact = 'import'").select("repo", "path", F.col("alias").alias("callee"), F.col("name").alias("original"), F.regexp_replace("rel", "^/+", "").alias("rel"), "fqn")
     asked = free.join(imports.groupBy("repo", "path", "callee").agg(F.max(F.struct("original", "rel", "fqn")).alias("i")), ["repo", "path", "callee"]).select("*", "i.*").drop("i")
     one_fqn = _only(real, ["lang", "fqn"], "id").withColumnRenamed("id", "dst")
     steps.append(asked.filter("fqn IS NOT NULL").join(one_fqn, ["lang", "fqn"]).select("call", "src", "dst", F.lit(4).alias("step"), F.lit(IMPORTED).alias("conf")))
     in_file = _only(real, ["repo", "path", "name"], "id").withColumnRenamed("id", "dst")
     tails = F.array(*(F.lit(s) for s in SUFFIXES))
     at = asked.filter("rel IS NOT NULL").select("call", "src", "repo", "rel", F.col("original").alias("name"), F.posexplode(tails).alias("pos", "tail")).withColumn("path", F.concat("rel", "tail"))
-    hit = at.join(in_file, ["repo", "path", "name"]).filter("dst <> src").groupBy("call", "src").agg(F.min_by("dst", "pos").alias("dst"))
+    hit = at.join(in_file, ["repo", "path", "name"]).groupBy("call", "src").agg(F.min_by("dst", "pos").alias("dst")).filter("dst <> src")
     steps.append(hit.select("call", "src", "dst", F.lit(5).alias("step"), F.lit(IMPORTED).alias("conf")))
     steps.append(calls.join(in_file.withColumnRenamed("name", "callee"), ["repo", "path", "callee"]).select("call", "src", "dst", F.lit(6).alias("step"), F.lit(LOCAL).alias("conf")))
     blocked = blocked_names(nodes, calls, fanout, frequency).withColumnRenamed("name", "callee")
@@ -206,8 +228,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     n = nodes.count()
     if not n:
         return nodes.select("id").withColumn("centrality", F.lit(0.0))
-    w = Window.partitionBy("src")
-    out = keep(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", (F.col("conf") / F.sum("conf").over(w)).alias("weight")), "rank-edges")
+    sums = edges.groupBy("src").agg(F.sum("conf").alias("total"))  # combined before the shuffle, so that a hub isn't one task's
+    known = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(sums, "src")
+    out = keep(known.select("src", "dst", (F.col("conf") / F.col("total")).alias("weight")).repartition("src").sortWithinPartitions("src"), "rank-edges")
     sources = out.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(1))
     ids = keep(nodes.select("id").distinct().join(sources, "id", "left"), "rank-nodes")
     rank, dangling = ids.select("id", "out", F.lit(1.0 / n).alias("r")), ids.filter("out IS NULL").count() / n
@@ -216,8 +239,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         base = (1 - damping) / n + damping * dangling / n
         seen = Observation()  # the mass of the nodes without edges comes with the write, without a job of its own
         step = ids.join(moved, "id", "left").select("id", "out", (F.lit(base) + damping * F.coalesce("in", F.lit(0.0))).alias("r"))
-        rank = keep(step.observe(seen, F.sum(F.when(F.col("out").isNull(), F.col("r"))).alias("dangling")), "rank")
+        last, rank = rank, keep(step.observe(seen, F.sum(F.when(F.col("out").isNull(), F.col("r"))).alias("dangling")), "rank")
         dangling = seen.get["dangling"] or 0.0
+        discard(last)
     return rank.select("id", (F.round("r", digits) if digits is not None else F.col("r")).alias("centrality"))
 
 
@@ -243,7 +267,8 @@ def resolve_symbol(nodes: DataFrame, symbol: str) -> DataFrame:
         stage = stage.when(F.col("path").endswith(head) & (F.col("start_line") == int(line)), 3)
     stage = stage.when((q == low) | q.endswith("." + low), 4)
     hits = nodes.withColumn("stage", stage).filter(F.col("stage").isNotNull() & F.lit(s != ""))
-    return hits.withColumn("best", F.min("stage").over(Window.partitionBy())).filter("stage = best").select("id") if s else nodes.filter(F.lit(False)).select("id")
+    best = F.broadcast(hits.agg(F.min("stage").alias("best")))  # one row
+    return hits.join(best, F.col("stage") == F.col("best")).select("id") if s else nodes.filter(F.lit(False)).select("id")
 
 
 def roots_of(nodes: DataFrame, symbol: str) -> tuple[DataFrame, str]:

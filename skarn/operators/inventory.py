@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import columns as C
-from skarn.plans.scratch import keep
+from skarn.plans.scratch import discard, keep
 
 
 def volume_rollup(stats: DataFrame) -> DataFrame:
@@ -51,11 +51,12 @@ def reconcile(actual: DataFrame, referenced: DataFrame) -> dict[str, DataFrame]:
     """
     a = actual.withColumn("scheme", F.when(F.col("name").contains("://"), F.split_part("name", F.lit("://"), F.lit(1))).otherwise(""))
     r = referenced.withColumnRenamed("name", "template").withColumnRenamed("scheme", "r_scheme")
-    on = (F.col("scheme") == F.col("r_scheme")) & F.expr("name rlike pattern")
+    met = keep(a.join(r, (F.col("scheme") == F.col("r_scheme")) & F.expr("name rlike pattern")).select("name", "template").distinct(), "reconcile")
+    hit = met.select("name").distinct()
     return {
-        "matched": a.join(r, on, "left_semi").drop("scheme"),
-        "orphans": a.join(r, on, "left_anti").drop("scheme"),
-        "ghosts": r.join(a, on, "left_anti").select(F.col("template").alias("name")).distinct(),
+        "matched": actual.join(hit, "name", "left_semi"),
+        "orphans": actual.join(hit, "name", "left_anti"),
+        "ghosts": referenced.join(met.select(F.col("template").alias("name")).distinct(), "name", "left_anti").select("name").distinct(),
     }
 
 
@@ -84,22 +85,23 @@ def pipeline_edges(pipelines: DataFrame) -> DataFrame:
     return pipelines.select(F.col("id").alias("pipeline"), F.explode("inputs").alias("src"), "outputs").select("pipeline", "src", F.explode("outputs").alias("dst")).select("src", "dst", "pipeline")
 
 
-def lineage_closure(edges: DataFrame, start: Iterable[str], depth: int = 20) -> DataFrame:
+def lineage_closure(edges: DataFrame, start: Iterable[str]) -> DataFrame:
     """(name, depth) of everything downstream of the datasets, by the fewest steps.
 
     Each step joins the frontier with the edges; it ends when nothing is new, cycles included.
     """
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
-    seen = spark.createDataFrame([(s, 0) for s in sorted(set(start))], "name string, depth int")
-    front = seen
-    for d in range(1, depth + 1):
+    pairs = keep(edges.select("src", "dst").distinct(), "lineage-edges")
+    seen = keep(spark.createDataFrame([(s, 0) for s in sorted(set(start))], "name string, depth int"), "lineage")
+    front, d = seen, 0
+    while True:
+        d += 1
         new = front.join(pairs, front["name"] == pairs["src"]).select(F.col("dst").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(d))
-        front = keep(new, "lineage")
+        front = keep(new, "lineage-step")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen.filter("depth > 0")
+            return seen.filter("depth > 0")
+        last, seen = seen, keep(seen.unionByName(front), "lineage")
+        discard(last)
 
 
 def register_breakdown(pipelines: DataFrame) -> DataFrame:

@@ -98,6 +98,11 @@ def walk_docs(spark: SparkSession, base: str, manifest: Mapping, most_bytes: int
     return found.select(*(c.split()[0] for c in schema.split(", ")))
 
 
+def first_files(files: DataFrame, n: int | None) -> DataFrame:
+    """At most n files, the first by key; all without n."""
+    return files if n is None else files.orderBy("key").limit(max(0, n))
+
+
 def supported(files: DataFrame) -> DataFrame:
     """Files of the languages of the code graph, neither blank nor minified."""
     return files.filter(F.col("lang").isin(*SUPPORTED) & (F.trim("text") != "") & ~C.minified("path", "text"))

@@ -24,9 +24,23 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
-    """Number of the committed version; None if there is no table."""
+    """Number of the committed version; None if there is no table.
+
+    A crash may have left the commit half done. Versions are written whole before they are named, and
+    their success mark is the last thing written, so without the file the newest marked one counts.
+    """
     fs, p = _fs(spark, f"{path}/{CURRENT}")
-    return int(spark.read.text(f"{path}/{CURRENT}").first()[0]) if fs.exists(p) else None
+    if fs.exists(p):
+        return int(spark.read.text(f"{path}/{CURRENT}").first()[0])
+    done = [n for n in _versions(spark, path) if fs.exists(_fs(spark, f"{path}/v{n}/_SUCCESS")[1])]
+    return max(done, default=None)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all versions there are, committed or not."""
+    fs, p = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
 
 
 def open_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -36,18 +50,25 @@ def open_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def commit(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), files: int | None = None) -> DataFrame:
-    """Write df as the next version and make it current. files: rewrite into so many (compaction)."""
+    """Write df as the next version and make it current. files: rewrite into so many (compaction).
+
+    The new number is above all that exist, so nothing that is there is written over; the rename replaces
+    the old name in one step.
+    """
     spark = df.sparkSession
-    n = (current_version(spark, path) or 0) + 1
+    n = max(_versions(spark, path), default=0) + 1
     out = df.coalesce(files) if files else df
-    (out.write.mode("overwrite").partitionBy(*partition_by) if partition_by else out.write.mode("overwrite")).parquet(f"{path}/v{n}")
+    (out.write.partitionBy(*partition_by) if partition_by else out.write).parquet(f"{path}/v{n}")
     fs, tmp = _fs(spark, f"{path}/.{CURRENT}.{n}")
     stream = fs.create(tmp, True)
     stream.write(bytearray(f"{n}\n".encode()))
     stream.close()
     _, target = _fs(spark, f"{path}/{CURRENT}")
-    fs.delete(target, False)
-    fs.rename(tmp, target)
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(target), option)
     return spark.read.parquet(f"{path}/v{n}")
 
 
