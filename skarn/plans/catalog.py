@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.plans import governance, retrieval
+from skarn.plans import governance, parity, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**governance.QUERIES, **retrieval.QUERIES}
-ORACLE_SQL: dict[str, str] = {**governance.ORACLE_SQL, **retrieval.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**governance.QUERIES, **retrieval.QUERIES, **parity.QUERIES}
+ORACLE_SQL: dict[str, str] = {**governance.ORACLE_SQL, **retrieval.ORACLE_SQL, **parity.ORACLE_SQL}

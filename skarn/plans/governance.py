@@ -143,27 +143,33 @@ def schema_drift(spark: SparkSession, d: str) -> DataFrame:
 DECLARED = [("orders", "o_orderkey", "BIGINT(20)"), ("orders", "o_totalprice", "varchar(10)"), ("orders", "o_comment", "text"), ("part", "p_size", "INT"), ("part", "p_name", "JSON"), ("ghost", "x", "int")]
 
 
+def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What is walked, and what the index knows, from whole tables: documents, against labelled ones and pages."""
+    docs = read(spark, d, "documents")
+    key = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    walked = docs.select(key.alias("key"), F.col("source").alias("repo"), C.content_hash("text").alias("sha"))
+    old = F.when(F.col("toxic") == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    known = docs.join(read(spark, d, "labels").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"]), "doc_id")
+    indexed = known.select(key.alias("key"), F.col("source").alias("repo"), C.content_hash(old).alias("sha"), F.when(F.col("quality") == 0, "v1").otherwise("v2").alias("embed_ver"))
+    gone = read(spark, d, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("key"), F.when(F.col("page_id") % 2 == 0, "src0").otherwise("elsewhere").alias("repo"), C.content_hash("html").alias("sha"), F.lit("v2").alias("embed_ver"))
+    return walked, indexed.unionByName(gone)
+
+
 def incremental_diff(spark: SparkSession, d: str) -> DataFrame:
-    """documents against an index that knows the shorter ones, in which some texts were others."""
+    """what a run has to index and to delete."""
     from skarn.operators.retrieval import changes
 
-    docs = read(spark, d, "documents")
-    key = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
-    walked = docs.filter("n_chars >= 200").select(key.alias("key"), F.col("source").alias("repo"), C.content_hash("text").alias("sha"))
-    old = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    ver = F.when(F.col("doc_id") % 13 == 5, "v1").otherwise("v2")
-    indexed = docs.filter("n_chars < 5000").select(key.alias("key"), F.col("source").alias("repo"), C.content_hash(old).alias("sha"), ver.alias("embed_ver"))
-    todo, drop = changes(walked, indexed, "v2")
+    todo, drop = changes(*snapshots(spark, d), "v2")
     return todo.select(F.lit("index").alias("action"), "key").unionByName(drop.select(F.lit("delete").alias("action"), "key"))
 
 
 def lineage_enrich(spark: SparkSession, d: str) -> DataFrame:
     """events as runs of jobs, filled from declarations."""
     e = read(spark, d, "events")
-    runs = e.select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("job_name"), F.when(F.col("event_id") % 2 == 0, F.array(F.concat(F.lit("own"), F.col("user_id").cast("string")))).otherwise(F.array().cast("array<string>")).alias("inputs"), F.lit(None).cast("array<string>").alias("outputs"), C.json_fields("props", "k string, v string").isNotNull().alias("has_props"))
+    runs = e.select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("job_name"), F.when(F.col("event_id") % 2 == 0, F.array(F.concat(F.lit("own"), F.col("user_id").cast("string")))).otherwise(F.array().cast("array<string>")).alias("inputs"), F.lit(None).cast("array<string>").alias("outputs"), C.json_fields(F.when(F.col("event_id") % 4 == 1, "[1]").otherwise(F.col("props")), "k string, v string").isNotNull().alias("has_props"))
     jobs = spark.createDataFrame([("click", ["raw"], ["c1", "c2"]), ("purchase", ["cart"], ["sales"]), ("view", None, ["pages"])], "job_name string, inputs array<string>, outputs array<string>")
     out = lineage.enrich(runs, jobs)
-    return out.select("run_id", "job_name", F.array_join("inputs", ",").alias("inputs"), F.array_join(F.coalesce("outputs", F.array()), ",").alias("outputs"))
+    return out.select("run_id", "job_name", "has_props", F.array_join("inputs", ",").alias("inputs"), F.array_join(F.coalesce("outputs", F.array()), ",").alias("outputs"))
 
 
 def daily_extremes(spark: SparkSession, d: str) -> DataFrame:
@@ -308,6 +314,14 @@ _LAG = "date_diff('microsecond', newest, TIMESTAMP '2024-01-31') // 1000000"
 _MEAN = "((2 * CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) * 100 AS BIGINT) * 10000 + count(*)) // (2 * count(*)))::DOUBLE / 1000000.0::DOUBLE"
 _EXTREMES = "min({v}) AS tnn, CAST(arg_min(CAST(o_orderdate AS DATE), (o_totalprice, o_orderdate)) AS DATE) AS tnn_date, max({v}) AS txx, CAST(arg_max(CAST(o_orderdate AS DATE), (o_totalprice, -epoch(o_orderdate))) AS DATE) AS txx_date".format(v="o_totalprice")
 
+SNAPSHOTS = """w AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(text) AS sha FROM documents),
+    k AS (SELECT doc_id, any_value(quality) AS quality, any_value(toxic) AS toxic FROM labels GROUP BY 1),
+    x AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(CASE WHEN toxic = 1 THEN text || 'x' ELSE text END) AS sha, CASE WHEN quality = 0 THEN 'v1' ELSE 'v2' END AS embed_ver FROM documents JOIN k USING (doc_id)
+      UNION ALL SELECT 'page/' || page_id, CASE WHEN page_id % 2 = 0 THEN 'src0' ELSE 'elsewhere' END, sha256(html), 'v2' FROM pages),
+    t AS (SELECT w.*, x.key IS NOT NULL AS old FROM w LEFT JOIN x USING (key) WHERE w.sha IS DISTINCT FROM x.sha OR x.embed_ver IS DISTINCT FROM 'v2'),
+    g AS (SELECT key FROM t WHERE old UNION SELECT key FROM x WHERE key NOT IN (SELECT key FROM w) AND repo IN (SELECT repo FROM w))"""
+_FAMILY = "CASE WHEN regexp_matches(lower({0}), '^(bigint|int)') THEN 'int' WHEN regexp_matches(lower({0}), '^(double)') THEN 'float' WHEN regexp_matches(lower({0}), '^(varchar|text|string)') THEN 'text' ELSE '?' || lower({0}) END"
+
 ORACLE_SQL = {
     "F01_dual_source_coherence": f"WITH a AS ({_DAILY.format('orders', 'o_orderstatus', 'o_orderdate')}), b AS ({_DAILY.format('lineitem', 'l_linestatus', 'l_shipdate')}) SELECT key, day, a.n AS left_n, b.n AS right_n, round(100.0 * abs(a.n - b.n) / greatest(a.n, b.n), 4)::DOUBLE AS deviation_pct FROM a JOIN b USING (key, day) WHERE 100.0 * abs(a.n - b.n) / greatest(a.n, b.n) > 60",
     "F01b_dual_source_coverage": "WITH a AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT c_custkey AS key FROM customer) SELECT count(*) AS right_keys, count(a.key) AS common_keys, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(100.0 * count(a.key)::DOUBLE / count(*), 4) END AS coverage_pct FROM b LEFT JOIN a USING (key)",
@@ -332,11 +346,8 @@ ORACLE_SQL = {
     "A10_reconcile_counts": _NAMES + "SELECT 'matched' AS kind, count(*) AS n FROM a WHERE name IN (SELECT a FROM hit) UNION ALL SELECT 'orphans', count(*) FROM a WHERE name NOT IN (SELECT a FROM hit) UNION ALL SELECT 'ghosts', count(*) FROM r WHERE name NOT IN (SELECT r FROM hit)",
     "F10_register_diff": """WITH i AS (SELECT c_custkey AS name, c_acctbal < 0 AS flag, c_mktsegment = 'MACHINERY' AS dead FROM customer), c AS (SELECT DISTINCT o_custkey AS name, true AS dec FROM orders WHERE o_orderpriority = '1-URGENT'),
         j AS (SELECT name, CASE WHEN flag AND dec IS NULL THEN 'missing' WHEN dec AND NOT coalesce(flag, false) THEN CASE WHEN dead THEN 'tolerated' ELSE 'extra' END END AS kind FROM i FULL JOIN c USING (name)) SELECT * FROM j WHERE kind IS NOT NULL""",
-    "F11_incremental_diff": """WITH w AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(text) AS sha FROM documents WHERE n_chars >= 200),
-        x AS (SELECT source || '/' || doc_id AS key, source AS repo, sha256(CASE WHEN doc_id % 10 = 3 THEN text || 'x' ELSE text END) AS sha, CASE WHEN doc_id % 13 = 5 THEN 'v1' ELSE 'v2' END AS ver FROM documents WHERE n_chars < 5000),
-        t AS (SELECT w.key, x.key IS NOT NULL AS old FROM w LEFT JOIN x USING (key) WHERE w.sha IS DISTINCT FROM x.sha OR ver IS DISTINCT FROM 'v2')
-        SELECT 'index' AS action, key FROM t UNION ALL SELECT 'delete', key FROM t WHERE old UNION ALL SELECT 'delete', key FROM x WHERE key NOT IN (SELECT key FROM w) AND repo IN (SELECT repo FROM w)""",
-    "F12_lineage_enrich": "SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS job_name, CASE WHEN event_id % 2 = 0 THEN 'own' || user_id ELSE CASE event_type WHEN 'click' THEN 'raw' WHEN 'purchase' THEN 'cart' ELSE '' END END AS inputs, CASE event_type WHEN 'click' THEN 'c1,c2' WHEN 'purchase' THEN 'sales' WHEN 'view' THEN 'pages' ELSE '' END AS outputs FROM events",
+    "F11_incremental_diff": f"WITH {SNAPSHOTS} SELECT 'index' AS action, key FROM t UNION ALL SELECT 'delete', key FROM g",
+    "F12_lineage_enrich": "SELECT CAST(event_id AS VARCHAR) AS run_id, event_id % 4 <> 1 AND json_type(props) = 'OBJECT' AS has_props, event_type AS job_name, CASE WHEN event_id % 2 = 0 THEN 'own' || user_id ELSE CASE event_type WHEN 'click' THEN 'raw' WHEN 'purchase' THEN 'cart' ELSE '' END END AS inputs, CASE event_type WHEN 'click' THEN 'c1,c2' WHEN 'purchase' THEN 'sales' WHEN 'view' THEN 'pages' ELSE '' END AS outputs FROM events",
     "F13_daily_extremes": "SELECT user_id AS station, CAST(ts AS DATE) AS date, round(min(value), 6) AS tn, round(max(value), 6) AS tx, round((min(value) + max(value)) / 2, 6) AS tntxm FROM events GROUP BY ALL",
     "F14_monthly_dated_extremes": f"SELECT o_orderpriority AS station, strftime(o_orderdate, '%Y-%m') AS month, {_EXTREMES}, {_MEAN} AS tmm FROM orders GROUP BY 1, 2",
     "A21_absolute_records": f"SELECT o_orderpriority AS station, CAST(month(o_orderdate) AS INTEGER) AS month, {_EXTREMES} FROM orders GROUP BY 1, 2",
@@ -360,5 +371,6 @@ ORACLE_SQL = {
     "F31b_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, s",
     "A26_register_cube": "SELECT o_orderstatus AS status, o_orderpriority AS domain, CAST(grouping(o_orderstatus, o_orderpriority) AS INTEGER) AS level, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "P41_recent_feed": "SELECT md5(user_id || '|' || event_type) AS key, CAST(min(date_diff('microsecond', ts, TIMESTAMP '2024-01-15 12:00:00') // 60000000) AS INTEGER) AS age_min FROM events WHERE ts > TIMESTAMP '2024-01-15 10:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1",
-    "Q09_schema_drift": "SELECT * FROM (VALUES ('orders', 'o_totalprice', 'varchar(10)', 'double', 'family_mismatch'), ('orders', 'o_comment', 'text', NULL, 'absent_column'), ('part', 'p_name', 'JSON', 'string', 'family_mismatch'), ('ghost', 'x', 'int', NULL, 'absent_table')) t(object, \"column\", type, actual_type, status)",
+    "Q09_schema_drift": f"""WITH d(object, "column", type) AS (VALUES {", ".join(map(str, DECLARED))}), a AS (SELECT table_name AS object, column_name AS "column", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower(data_type) END AS actual_type FROM information_schema.columns WHERE table_name IN ('orders', 'part')),
+        j AS (SELECT d.*, actual_type, CASE WHEN object NOT IN (SELECT object FROM a) THEN 'absent_table' WHEN actual_type IS NULL THEN 'absent_column' WHEN {_FAMILY.format('type')} <> {_FAMILY.format('actual_type')} THEN 'family_mismatch' END AS status FROM d LEFT JOIN a USING (object, "column")) SELECT * FROM j WHERE status IS NOT NULL""",
 }

@@ -34,9 +34,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the vector of the same number."""
+    """All documents and all vectors, joined where they have the same number."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("contextualized"), F.col("source").alias("repo"), "lang").join(e, "id")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("contextualized"), F.col("source").alias("repo"), "lang").join(e, "id", "full_outer")
 
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -106,21 +106,6 @@ def build_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.build_stats(nodes.withColumn("fqn", F.col("id")), edges)
 
 
-def cascade(spark: SparkSession, d: str) -> DataFrame:
-    """lines as calls of a part by name; resolved by brand, else by a unique name, else by every homonym."""
-    p = read(spark, d, "part")
-    calls = read(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("call"), F.col("l_partkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).select("call", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
-    calls = calls.groupBy("name", "brand").agg(F.min("call").alias("call"))
-    defs = p.filter("p_size > 25").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
-    local = defs.groupBy("name", "brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("dst")).filter("n = 1")
-    blocked = defs.groupBy("name").count().filter("count > 9").select("name")
-    every = defs.withColumn("homonyms", F.count(F.lit(1)).over(graph.Window.partitionBy("name"))).select("name", "homonyms", F.col("p_partkey").alias("dst"))
-    one = calls.join(local, ["name", "brand"]).select("call", "dst", F.lit(6).alias("step"), F.lit(0.90).alias("conf"))
-    rest = calls.join(blocked, "name", "left_anti").join(every, "name").select("call", "dst", F.when(F.col("homonyms") == 1, 8).otherwise(9).alias("step"), F.when(F.col("homonyms") == 1, 0.75).otherwise(0.35).alias("conf"))
-    found = one.unionByName(rest)
-    return found.withColumn("first", F.min("step").over(graph.Window.partitionBy("call"))).filter("step = first").drop("first")
-
-
 def resolve_all(spark: SparkSession, d: str) -> DataFrame:
     """Every part a definition in its brand, every line a call of its part's name from there, by graph.resolve and its limits."""
     p = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("repo"), F.lit("part").alias("path"), F.lit("sql").alias("lang"), F.lit("").alias("ns"), F.col("p_name").alias("name"))
@@ -133,7 +118,7 @@ def resolve_all(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "F20_vector_topk": vector_topk, "T11_filtered_vector_topk": vector_topk_filtered, "F21_bm25_topk": bm25_topk, "F22_hybrid_rrf": hybrid, "F23_meta_rerank": meta_rerank, "A17_dry_run_cost": dry_run, "F24_sections": paragraphs, "F25_char_windows": char_windows,
-    "F26_edge_dedup": edge_dedup, "A13_fan_in": fan_in, "O02_hotspots": hotspots, "F27_bfs_impact": impact, "F28_pagerank": pagerank, "A16_build_stats": build_stats, "F29_cascade_resolution": cascade, "G04_resolve": resolve_all,
+    "F26_edge_dedup": edge_dedup, "A13_fan_in": fan_in, "O02_hotspots": hotspots, "F27_bfs_impact": impact, "F28_pagerank": pagerank, "A16_build_stats": build_stats, "F29_G04_cascade": resolve_all,
 }
 
 _Q = "[" + ", ".join(map(str, QUERY)) + "]"
@@ -164,8 +149,8 @@ ORACLE_SQL = {
     "F20_vector_topk": f"SELECT vec_id, round({_DIST}, 5) AS distance FROM embeddings ORDER BY {_DIST}, vec_id LIMIT {K}",
     "T11_filtered_vector_topk": f"SELECT vec_id, label, round({_DIST}, 5) AS distance FROM embeddings WHERE label IN (1, 3, 5) ORDER BY {_DIST}, vec_id LIMIT {K}",
     "F21_bm25_topk": f"WITH {_bm25('SELECT doc_id AS id, text FROM documents')} SELECT id AS doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT {K}",
-    "F22_hybrid_rrf": f"""WITH i AS (SELECT doc_id AS id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id), {_bm25("SELECT id, text FROM i")},
-        a AS (SELECT id, row_number() OVER (ORDER BY dd, id) AS rank FROM (SELECT id, {_DIST} AS dd FROM i ORDER BY dd, id LIMIT 60)), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS text_rank FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 60)),
+    "F22_hybrid_rrf": f"""WITH i AS (SELECT coalesce(doc_id, vec_id) AS id, coalesce(text, '') AS text, embedding FROM documents FULL JOIN embeddings ON doc_id = vec_id), {_bm25("SELECT id, text FROM i")},
+        a AS (SELECT id, row_number() OVER (ORDER BY dd, id) AS rank FROM (SELECT id, {_DIST} AS dd FROM i WHERE embedding IS NOT NULL ORDER BY dd, id LIMIT 60)), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS text_rank FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 60)),
         f AS (SELECT id, CAST(rank AS INTEGER) AS rank, CAST(text_rank AS INTEGER) AS text_rank, coalesce(1::DOUBLE / (60 + rank), 0) + coalesce(1::DOUBLE / (60 + text_rank), 0) AS s FROM a FULL JOIN b USING (id)) SELECT id, rank, text_rank, round(s, 8) AS score FROM f ORDER BY s DESC, id LIMIT {K}""",
     "F23_meta_rerank": f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents ORDER BY n_chars DESC, doc_id LIMIT {3 * K}),
         s AS (SELECT d.doc_id, rank, CASE WHEN quality = 0 THEN 'mort' WHEN toxic = 1 THEN 'douteux' WHEN quality = 1 THEN 'actif' ELSE '' END AS status, (d.doc_id % 1500) / 365.25::DOUBLE AS y FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id),
@@ -181,11 +166,7 @@ ORACLE_SQL = {
         l2 AS (SELECT id, min(depth) AS depth, max(path) AS path FROM (SELECT * FROM l1 UNION ALL SELECT b.b, 2, least(path, conf) FROM l1 JOIN b ON id = a WHERE depth = 1) GROUP BY id) SELECT id, CAST(depth AS INTEGER) AS depth, path AS conf FROM l2 WHERE depth > 0""",
     "F28_pagerank": _pagerank_sql(),
     "A16_build_stats": f"WITH {_RAW}, {_NODES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT id) FROM nodes) AS fqns, count(*) AS edges, count(*) FILTER (conf >= 0.7) AS strong FROM raw",
-    "F29_cascade_resolution": """WITH calls AS (SELECT p_name AS name, p_brand AS brand, min(l_orderkey) AS call FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY ALL), defs AS (SELECT p_partkey AS dst, p_name AS name, p_brand AS brand FROM part WHERE p_size > 25),
-        one AS (SELECT name, brand, min(dst) AS dst FROM defs GROUP BY ALL HAVING count(*) = 1), hom AS (SELECT *, count(*) OVER (PARTITION BY name) AS h FROM defs),
-        f AS (SELECT call, dst, 6 AS step, 0.9::DOUBLE AS conf FROM calls JOIN one USING (name, brand) UNION ALL SELECT call, dst, CASE WHEN h = 1 THEN 8 ELSE 9 END, CASE WHEN h = 1 THEN 0.75 ELSE 0.35 END::DOUBLE FROM calls JOIN hom ON calls.name = hom.name WHERE h <= 9)
-        SELECT call, dst, step, conf FROM f QUALIFY step = min(step) OVER (PARTITION BY call)""",
-    "G04_resolve": """WITH calls AS (SELECT p_name AS name, p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), defs AS (SELECT p_name AS name, p_brand AS brand, p_brand || '/part:' || p_partkey || ':' || p_name AS dst FROM part),
+    "F29_G04_cascade": """WITH calls AS (SELECT p_name AS name, p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), defs AS (SELECT p_name AS name, p_brand AS brand, p_brand || '/part:' || p_partkey || ':' || p_name AS dst FROM part),
         blocked AS (SELECT name FROM defs GROUP BY 1 HAVING count(*) > 6 UNION SELECT name FROM calls GROUP BY 1 HAVING sum(n) > 200), one AS (SELECT name, brand, min(dst) AS dst FROM defs GROUP BY ALL HAVING count(*) = 1), hom AS (SELECT name, dst, count(*) OVER (PARTITION BY name) AS h FROM defs),
         f AS (SELECT name, brand, dst, 6 AS step, 0.9::DOUBLE AS conf FROM calls JOIN one USING (name, brand) UNION ALL SELECT calls.name, brand, dst, CASE WHEN h = 1 THEN 8 ELSE 9 END, CASE WHEN h = 1 THEN 0.6 ELSE 0.35 END::DOUBLE FROM calls JOIN hom ON calls.name = hom.name WHERE calls.name NOT IN (SELECT name FROM blocked)),
         best AS (SELECT * FROM f QUALIFY step = min(step) OVER (PARTITION BY name, brand))

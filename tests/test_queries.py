@@ -48,7 +48,7 @@ def test_windows_cover_every_text(spark, sf_dir):
 
 def test_whole_tables_reach_the_operators(spark, duck, sf_dir):
     """Parts of all sizes are definitions, lines of all numbers calls, and all users stations."""
-    edges = catalog.QUERIES["G04_resolve"](spark, sf_dir)
+    edges = catalog.QUERIES["F29_G04_cascade"](spark, sf_dir)
     small = {f"{b}/part:{k}:{n}" for k, b, n in duck.execute("SELECT p_partkey, p_brand, p_name FROM part WHERE p_size <= 25").fetchall()}
     assert {r.dst for r in edges.collect()} & small
     most = duck.execute("SELECT max(n) FROM (SELECT count(DISTINCT user_id) AS n FROM events GROUP BY CAST(ts AS DATE))").fetchone()[0]
