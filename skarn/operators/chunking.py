@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.functions import columns as C
+from skarn.operators import braces
 
 CHUNKS = "key string, repo string, path string, lang string, chunk int, chunks int, start_line int, end_line int, text string"
 
@@ -123,8 +124,8 @@ def structured(path: str, text: str, most: int = 8000) -> list[Chunk]:
 def definitions(text: str, lang: str, most: int = 3000) -> list[Chunk]:
     """A chunk for each top-level definition with the comments and blank lines before it, and for what lies between.
 
-    Only Python has a parser here; other languages, unparsable texts and texts without definitions
-    are cut into windows that share a third.
+    For Python, PHP, TypeScript and JavaScript; other languages, unparsable texts and texts without
+    definitions are cut into windows that share a third.
     """
     if not text.strip():
         return []
@@ -136,6 +137,8 @@ def definitions(text: str, lang: str, most: int = 3000) -> list[Chunk]:
             body = []
         kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
         found = [(min([n.lineno, *(d.lineno for d in n.decorator_list)]) - 1, n.end_lineno) for n in body if isinstance(n, kinds)]
+    if lang in ("php", "ts", "js"):
+        found = braces.top_level(text, lang)
     if not found:
         return windows(text, most, max(0, most // 3))
     lines, out, at = text.split("\n"), [], 0

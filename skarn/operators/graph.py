@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.functions import columns as C
+from skarn.operators import braces
 from skarn.plans.scratch import discard, keep
 
 MODULE = "<module>"
@@ -43,8 +44,12 @@ def _receiver(fn: ast.expr) -> tuple[str, str, str]:
     return (fn.id, "free", "") if isinstance(fn, ast.Name) else ("", "free", "")
 
 
-def facts_of(text: str, path: str = "") -> list[dict]:
-    """Definitions, calls and relative imports of a Python file; nothing if it can't be parsed."""
+def facts_of(text: str, path: str = "", lang: str = "python") -> list[dict]:
+    """Definitions, calls and imports of a file; nothing for another language or if it can't be parsed."""
+    if lang in ("php", "ts", "js"):
+        return braces.read(text, path, lang)
+    if lang != "python":
+        return []
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -77,16 +82,16 @@ def facts_of(text: str, path: str = "") -> list[dict]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Facts of (repo, path, lang, text). Only Python has a parser here; other languages give none."""
+    """Facts of (repo, path, lang, text) for Python, PHP, TypeScript and JavaScript; other languages give none."""
 
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FACTS.split(", ")]
         for pdf in frames:
-            rows = [{"repo": r.repo, "path": r.path, "lang": r.lang, "ns": "", **f} for r in pdf.itertuples() for f in facts_of(r.text or "", r.path)]
+            rows = [{"repo": r.repo, "path": r.path, "lang": r.lang, "ns": "", **f} for r in pdf.itertuples() for f in facts_of(r.text or "", r.path, r.lang)]
             out = pd.DataFrame(rows, columns=names).astype(object)
             yield out.where(out.notna(), None)
 
-    return files.filter("lang = 'python'").select("repo", "path", "lang", "text").mapInPandas(go, FACTS)
+    return files.filter("lang IN ('python', 'php', 'ts', 'js')").select("repo", "path", "lang", "text").mapInPandas(go, FACTS)
 
 
 def nodes_of(facts: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def _only(df: DataFrame, key: list[str], col: str) -> DataFrame:
 
 def _classes(nodes: DataFrame) -> DataFrame:
     """One class for each full name of a language, the last by id; its bases and methods count."""
-    rows = nodes.filter("kind = 'class'").select("lang", "fqn", F.struct("id", "ns", "name", "repo", "path", "bases").alias("c"))
+    rows = nodes.filter(F.col("kind").isin(*braces.CLASS_KINDS)).select("lang", "fqn", F.struct("id", "ns", "name", "repo", "path", "bases").alias("c"))
     return rows.groupBy("lang", "fqn").agg(F.max_by("c", "c.id").alias("c")).select("lang", "fqn", F.col("c.id").alias("class"), "c.ns", "c.name", "c.repo", "c.path", "c.bases")
 
 
@@ -170,7 +175,7 @@ def resolve(facts: DataFrame, fanout: int = MAX_FANOUT, frequency: int = MAX_FRE
     imports = _imports(facts)
     above = keep(ancestors(nodes, imports), "graph-ancestors")
     classes = above.filter("size(order) = 0").select(F.col("class").alias("id"))
-    own_class = nodes.filter("kind = 'class'").select("repo", "path", F.col("qname").alias("class_q"), "lang", "fqn").dropDuplicates(["repo", "path", "class_q"])
+    own_class = nodes.filter(F.col("kind").isin(*braces.CLASS_KINDS)).select("repo", "path", F.col("qname").alias("class_q"), "lang", "fqn").dropDuplicates(["repo", "path", "class_q"])
     kept = nodes.join(classes, "id", "left_semi").select("id", "repo", "path", "lang", "fqn", "ns", "name", "qname")
     class_id = own_class.join(kept.select("lang", "fqn", F.col("id").alias("cls")), ["lang", "fqn"]).select("repo", "path", "class_q", "cls")
     methods = methods.join(kept.select("repo", "path", F.col("qname").alias("class_q"), F.col("id").alias("cls")), ["repo", "path", "class_q"]).groupBy("cls", "callee").agg(F.max("dst").alias("dst"))
