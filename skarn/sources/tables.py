@@ -10,17 +10,29 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.plans.scratch import file_system
+
 CURRENT = "CURRENT"
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, or replace it in one step: a reader sees the old or the new text."""
+    folder, name = path.rsplit("/", 1)
+    fs, tmp = file_system(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = fs.create(tmp, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(file_system(spark, path)[1]), option)
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
@@ -29,16 +41,16 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     A crash may have left the commit half done. Versions are written whole before they are named, and
     their success mark is the last thing written, so without the file the newest marked one counts.
     """
-    fs, p = _fs(spark, f"{path}/{CURRENT}")
+    fs, p = file_system(spark, f"{path}/{CURRENT}")
     if fs.exists(p):
         return int(spark.read.text(f"{path}/{CURRENT}").first()[0])
-    done = [n for n in _versions(spark, path) if fs.exists(_fs(spark, f"{path}/v{n}/_SUCCESS")[1])]
+    done = [n for n in _versions(spark, path) if fs.exists(file_system(spark, f"{path}/v{n}/_SUCCESS")[1])]
     return max(done, default=None)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of all versions there are, committed or not."""
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
     return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
 
@@ -59,16 +71,7 @@ def commit(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), files:
     n = max(_versions(spark, path), default=0) + 1
     out = df.coalesce(files) if files else df
     (out.write.partitionBy(*partition_by) if partition_by else out.write).parquet(f"{path}/v{n}")
-    fs, tmp = _fs(spark, f"{path}/.{CURRENT}.{n}")
-    stream = fs.create(tmp, True)
-    stream.write(bytearray(f"{n}\n".encode()))
-    stream.close()
-    _, target = _fs(spark, f"{path}/{CURRENT}")
-    jvm = spark._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(tmp), fs.makeQualified(target), option)
+    replace_file(spark, f"{path}/{CURRENT}", f"{n}\n")
     return spark.read.parquet(f"{path}/v{n}")
 
 

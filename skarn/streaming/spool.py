@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
+from skarn.plans.scratch import file_system
+
 FORMAT = "jsonl_spool"
 SCHEMA = "offset long, value string"
 BLOCK = 64 << 20
@@ -155,6 +157,25 @@ def http_post(url: str, timeout: float = 10.0) -> Callable[[str], None]:
     return post
 
 
+def _saved(spark: SparkSession, path: str) -> dict | None:
+    """What _save() wrote last, wherever the checkpoint lies; None if nothing."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _save(spark: SparkSession, path: str, value: dict) -> None:
+    """Replace the file in one step."""
+    from skarn.sources.tables import replace_file
+
+    replace_file(spark, path, json.dumps(value))
+
+
 def forward(lines: DataFrame, jobs: DataFrame, post: Callable[[str], None], checkpoint: str, corrupt: str | None = None, interval: str | None = None) -> StreamingQuery:
     """D: post the enriched events in the order of the spool; at least once, blocking at the first failure.
 
@@ -162,22 +183,18 @@ def forward(lines: DataFrame, jobs: DataFrame, post: Callable[[str], None], chec
     from the event that failed, whose place is kept beside the checkpoint. Lines that can't be parsed
     go to the folder `corrupt` and count as passed. Without an interval it ends when all is forwarded.
     """
-    place = os.path.join(checkpoint, "posted.json")
+    spark = lines.sparkSession
+    place = f"{checkpoint}/posted.json"
 
     def go(batch: DataFrame, number: int) -> None:
-        done = -1
-        if os.path.exists(place):
-            with open(place, encoding="utf-8") as f:
-                saved = json.load(f)
-            done = saved["offset"] if saved["batch"] == number else -1
+        saved = _saved(spark, place)
+        done = saved["offset"] if saved and saved["batch"] == number else -1
         rows = enriched_lines(batch, jobs)
         if corrupt:
-            rows.filter("event IS NULL").select("offset", "value").write.mode("overwrite").json(os.path.join(corrupt, f"batch={number}"))
+            rows.filter("event IS NULL").select("offset", "value").write.mode("overwrite").json(f"{corrupt}/batch={number}")
         for r in rows.filter((F.col("event").isNotNull()) & (F.col("offset") > done)).select("offset", "event").orderBy("offset").toLocalIterator():
             post(r["event"])
-            with open(place + ".new", "w", encoding="utf-8") as f:
-                json.dump({"batch": number, "offset": r["offset"]}, f)
-            os.replace(place + ".new", place)
+            _save(spark, place, {"batch": number, "offset": r["offset"]})
 
     writer = lines.writeStream.foreachBatch(go).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -246,3 +246,20 @@ def test_two_strong_paths_raise_confidence(spark):
     got = {r.id: (r.depth, r.conf) for r in graph.reach(e, spark.createDataFrame([("s",)], "id string")).collect()}
     assert got == {"x": (1, 0.8), "y": (1, 0.9)}
     assert graph.reach(e, spark.createDataFrame([("s",)], "id string"), min_confidence=0.95).isEmpty()
+
+
+def test_json_fields_of_what_is_no_object(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, "[1]"), (3, '{"k": 1'), (4, '{"k": 1}'), (5, ' {"z": 2}'), (6, None), (7, "")], "i int, t string")
+    got = {r.i: r.f for r in rows.select("i", C.json_fields("t", "k int").alias("f")).collect()}
+    assert got[4].k == 1 and got[5].k is None and got[5] is not None and all(got[i] is None for i in (1, 2, 3, 6, 7))
+
+
+def test_closure_and_hierarchy_go_to_the_end(spark):
+    from skarn.operators import graph, inventory
+
+    edges = spark.range(30).selectExpr("concat('d', id) AS src", "concat('d', id + 1) AS dst").union(spark.createDataFrame([("d30", "d5")], "src string, dst string"))
+    got = {r.name: r.depth for r in inventory.lineage_closure(edges, ["d0"]).collect()}
+    assert got == {f"d{i}": i for i in range(1, 31)}
+    text = "class A0:\n    def up(self): pass\n" + "".join(f"class A{i}(A{i - 1}): pass\n" for i in range(1, 13)) + "class Z(A12):\n    def m(self):\n        self.up()\n"
+    files = spark.createDataFrame([("r", "a.py", "python", text)], "repo string, path string, lang string, text string")
+    assert [(e.conf, e.dst) for e in graph.resolve(graph.extract(files))[1].collect()] == [(0.95, "r/a.py:2:A0.up")]

@@ -153,3 +153,20 @@ def test_sidecar_and_reports(spark, tmp_path):
     parts = inventory.reconcile(spark.createDataFrame([("s://d/t",), ("s://d/u",)], "name string"), inventory.patterns(spark, ["s://d/t", "s://d/ghost"]))
     text = reports.reconcile_markdown(parts)
     assert "matched: **1**" in text and "- s://d/ghost" in text and "- s://d/u" in text
+
+
+def test_a_crash_at_any_point_of_a_commit_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame = lambda a, b: spark.range(a, b).withColumnRenamed("id", "key")
+    tables.append(frame(0, 10), path)
+    os.remove(f"{path}/CURRENT")  # the name is gone
+    assert tables.current_version(spark, path) == 1 and tables.open_table(spark, path).count() == 10
+    tables.append(frame(10, 11), path)
+    assert tables.open_table(spark, path).count() == 11
+    os.makedirs(f"{path}/v3")  # a version that was being written
+    write(f"{path}/v3/part.parquet.tmp", "x")
+    assert tables.current_version(spark, path) == 2
+    tables.delete_keys(spark, path, frame(0, 5))
+    assert tables.current_version(spark, path) == 4 and tables.open_table(spark, path).count() == 6
+    os.remove(f"{path}/CURRENT")
+    assert tables.current_version(spark, path) == 4
