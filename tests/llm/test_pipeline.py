@@ -96,3 +96,28 @@ def test_empty_documents(spark, sf_dir, stages):
     for _, f in cp.STAGES:
         docs = f(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, sf_dir):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    secret = "the key is 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b and more words follow here for a while"
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (None, "a null id and source with some words", "en", None, 36), (None, "a null id and source with some words", "en", None, 36), (-1, "", "en", "s", 0), (-2, None, "en", "s", None), (-3, "tie of words", "en", "s", 12), (-3, "tie of words", "en", "s", 12), (-4, "word " * 30_000, "en", "s", 150_000), (-5, secret, "en", "s", len(secret))],
+        base.schema,
+    )
+    clash = {c: F.lit(7) for c in ("id", "r", "n", "score", "g", "key", "__mix_g", "__dup_rank", "shard", "bin_id", "h", "s")}
+    docs = base.unionByName(odd).withColumns(clash)
+    for k, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k < len(cp.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            out = cp.store(out, "test")
+            assert {tuple(r[c] for c in clash) for r in out.collect()} == {(7,) * len(clash)}, name
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0, name
+        docs = out
+    rows = docs.collect()
+    assert rows and all(sum(r.lengths) == r.fill <= 2048 for r in rows)
