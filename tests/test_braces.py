@@ -3,13 +3,13 @@ import pytest
 from skarn.operators import braces, chunking, graph
 
 PHP = """<p><?php
-namespace App;
-use App\\Util\\Geo; use App\\{Log as L, Cache};
+namespace Shop;
+use Shop\\Tools\\Map; use Shop\\{Log as L, Cache};
 // function no() {}
 /** class Nope {} */
-abstract class Svc extends \\Lib\\Base implements Runs, Stops {
+abstract class Desk extends \\Lib\\Base implements Runs, Stops {
   use Helps;
-  public static function m(array $a = [1, 2]) { $this->h(); self::s(); parent::b(); Geo::load(); new Geo(); $x->y->z(); "call()"; if (f($a)) { return \\A\\g(1); } }
+  public static function m(array $a = [1, 2]) { Map::draw(1); $x->y->z(); parent::b($a); return new Map($this->h(), self::s(2)); "call()"; if (f($a)) { return \\A\\g(1); } }
   abstract function later();
   function h() { $f = function () { inner(); }; }
 }
@@ -23,15 +23,15 @@ EOT;
 
 def test_php():
     facts = braces.read(PHP, "svc.php", "php")
-    assert {f["ns"] for f in facts} == {"App"}
-    assert {(f["alias"], f["fqn"]) for f in facts if f["fact"] == "import"} == {("Geo", "App\\Util\\Geo"), ("L", "App\\Log"), ("Cache", "App\\Cache")}
+    assert {f["ns"] for f in facts} == {"Shop"}
+    assert {(f["alias"], f["fqn"]) for f in facts if f["fact"] == "import"} == {("Map", "Shop\\Tools\\Map"), ("L", "Shop\\Log"), ("Cache", "Shop\\Cache")}
     defs = {f["qname"]: f for f in facts if f["fact"] == "def"}
-    assert {q: d["kind"] for q, d in defs.items()} == {"Svc": "class", "Svc.m": "method", "Svc.later": "method", "Svc.h": "method", "Runs": "interface", "Runs.go": "method", "free": "function"}
-    assert defs["Svc"]["bases"] == ["Base", "Runs", "Stops", "Helps"]
-    assert (defs["Svc"]["start_line"], defs["Svc"]["end_line"], defs["Svc.m"]["end_line"], defs["free"]["end_line"]) == (6, 11, 8, 16)
+    assert {q: d["kind"] for q, d in defs.items()} == {"Desk": "class", "Desk.m": "method", "Desk.later": "method", "Desk.h": "method", "Runs": "interface", "Runs.go": "method", "free": "function"}
+    assert defs["Desk"]["bases"] == ["Base", "Runs", "Stops", "Helps"]
+    assert (defs["Desk"]["start_line"], defs["Desk"]["end_line"], defs["Desk.m"]["end_line"], defs["free"]["end_line"]) == (6, 11, 8, 16)
     calls = {(f["caller"], f["callee"], f["rkind"], f["rclass"]) for f in facts if f["fact"] == "call"}
-    assert calls == {("Svc.m", "h", "this", ""), ("Svc.m", "s", "self", ""), ("Svc.m", "b", "parent", ""), ("Svc.m", "load", "static", "Geo"), ("Svc.m", "__construct", "new", "Geo"), ("Svc.m", "z", "member", ""), ("Svc.m", "f", "free", ""), ("Svc.m", "g", "free", ""), ("Svc.h", "inner", "free", ""), ("free", "m", "free", "")}
-    assert {f["class"] for f in facts if f["fact"] == "call" and f["caller"].startswith("Svc")} == {"Svc"}
+    assert calls == {("Desk.m", "h", "this", ""), ("Desk.m", "s", "self", ""), ("Desk.m", "b", "parent", ""), ("Desk.m", "draw", "static", "Map"), ("Desk.m", "__construct", "new", "Map"), ("Desk.m", "z", "member", ""), ("Desk.m", "f", "free", ""), ("Desk.m", "g", "free", ""), ("Desk.h", "inner", "free", ""), ("free", "m", "free", "")}
+    assert {f["class"] for f in facts if f["fact"] == "call" and f["caller"].startswith("Desk")} == {"Desk"}
 
 
 TS = """import Def, { A, B as C } from './lib/x'
@@ -73,14 +73,14 @@ def edges(spark, *files):
 def test_cascade_over_php(spark):
     got = edges(
         spark,
-        ("geo.php", "php", "<?php\nnamespace App\\Util;\nclass Geo { function load() {} }\n"),
-        ("other.php", "php", "<?php\nnamespace Other;\nclass Geo { function load() {} }\n"),
-        ("svc.php", "php", "<?php\nnamespace App;\nuse App\\Util\\Geo;\nclass Top { function shared() {} }\nclass Svc extends Top { function run() { $this->shared(); Geo::load(); new Geo(); only(); } }\n"),
-        ("fn.php", "php", "<?php\nnamespace App;\nfunction only() {}\n"),
+        ("geo.php", "php", "<?php\nnamespace Shop\\Tools;\nclass Map { function draw() {} }\n"),
+        ("other.php", "php", "<?php\nnamespace Other;\nclass Map { function draw() {} }\n"),
+        ("svc.php", "php", "<?php\nnamespace Shop;\nuse Shop\\Tools\\Map;\nclass Root { function common() {} }\nclass Desk extends Root { function run() { $this->common(); Map::draw(); new Map(); only(); } }\n"),
+        ("fn.php", "php", "<?php\nnamespace Shop;\nfunction only() {}\n"),
         ("dup1.php", "php", "<?php\nfunction dup() {}\n"), ("dup2.php", "php", "<?php\nfunction dup() {}\n"), ("caller.php", "php", "<?php\nfunction caller() { return dup(); }\n"),
     )
-    run = "App\\Svc.run"
-    assert {(d, c) for s, d, c in got if s == run} == {("App\\Top.shared", 0.95), ("App\\Util\\Geo.load", 0.90), ("App\\Util\\Geo", 0.90), ("App\\only", 0.90)}
+    run = "Shop\\Desk.run"
+    assert {(d, c) for s, d, c in got if s == run} == {("Shop\\Root.common", 0.95), ("Shop\\Tools\\Map.draw", 0.90), ("Shop\\Tools\\Map", 0.90), ("Shop\\only", 0.90)}
     assert [(d, c) for s, d, c in got if s == "caller"] == [("dup", 0.35)]
 
 
