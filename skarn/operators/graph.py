@@ -6,7 +6,7 @@ import ast
 import posixpath
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +24,8 @@ FACTS = (
     "repo string, path string, lang string, ns string, fact string, name string, qname string, kind string, start_line int, end_line int, bases array<string>, "
     "callee string, rkind string, rclass string, caller string, class string, alias string, rel string, fqn string"
 )
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+BATCH = 10_000  # facts that are handed over at once
 
 
 def relative_module(module: str, level: int, file_dir: str) -> str:
@@ -82,16 +84,25 @@ def facts_of(text: str, path: str = "", lang: str = "python") -> list[dict]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Facts of (repo, path, lang, text) for Python, PHP, TypeScript and JavaScript; other languages give none."""
+    """Facts of (repo, path, lang, text) for Python, PHP, TypeScript and JavaScript; other languages give none.
 
-    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FACTS.split(", ")]
-        for pdf in frames:
-            rows = [{"repo": r.repo, "path": r.path, "lang": r.lang, "ns": "", **f} for r in pdf.itertuples() for f in facts_of(r.text or "", r.path, r.lang)]
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            yield out.where(out.notna(), None)
+    The facts are written once: those who read them do so many times, and each time all files would be parsed.
+    A file is one task's work, so as many tasks parse as `files` has partitions.
+    """
 
-    return files.filter("lang IN ('python', 'php', 'ts', 'js')").select("repo", "path", "lang", "text").mapInPandas(go, FACTS)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in FACTS.split(", "))])
+        rows = []
+        for batch in batches:
+            for repo, path, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.extend({"repo": repo, "path": path, "lang": lang, "ns": "", **f} for f in facts_of(text or "", path, lang))
+                if len(rows) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return keep(files.filter("lang IN ('python', 'php', 'ts', 'js')").select("repo", "path", "lang", "text").mapInArrow(go, FACTS), "graph-facts")
 
 
 def nodes_of(facts: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from skarn.sources import files as files_
 from skarn.sources import registers, reports, tables
 
 TODAY = datetime.date(2026, 6, 17)
+FILES = 10_000  # sources that a task reads
 
 
 def _fp(c: Column | str) -> Column:
@@ -200,11 +201,17 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    """A Python file for each part: a class under that of half its number, and a function that calls the next one's."""
+    """A Python file for each part: a class under that of half its number, and a function that calls the next one's.
+
+    The table is small for the work its files make, so its keys are spread over tasks by their number, not by bytes.
+    """
+    parts = read(spark, d, "part").select("p_partkey")
+    n = parts.count()
+    parts = parts.repartition(max(1, n // FILES, min(spark.sparkContext.defaultParallelism, n // 50)), "p_partkey")
     k = F.col("p_partkey").cast("string")
     base = F.when(F.col("p_partkey") > 1, F.concat(F.lit("(C"), F.floor(F.col("p_partkey") / 2).cast("string"), F.lit(")"))).otherwise("")
     text = F.concat(F.lit("class C"), k, base, F.lit(":\n    def own"), k, F.lit("(self):\n        return self.own1()\n\ndef f"), k, F.lit("(x):\n    return f"), (F.col("p_partkey") + 1).cast("string"), F.lit("(x)\n"))
-    return read(spark, d, "part").select(F.lit("r").alias("repo"), F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), F.lit("python").alias("lang"), text.alias("text"))
+    return parts.select(F.lit("r").alias("repo"), F.concat(F.lit("p"), k, F.lit(".py")).alias("path"), F.lit("python").alias("lang"), text.alias("text"))
 
 
 def code_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -263,3 +263,12 @@ def test_closure_and_hierarchy_go_to_the_end(spark):
     text = "class A0:\n    def up(self): pass\n" + "".join(f"class A{i}(A{i - 1}): pass\n" for i in range(1, 13)) + "class Z(A12):\n    def m(self):\n        self.up()\n"
     files = spark.createDataFrame([("r", "a.py", "python", text)], "repo string, path string, lang string, text string")
     assert [(e.conf, e.dst) for e in graph.resolve(graph.extract(files))[1].collect()] == [(0.95, "r/a.py:2:A0.up")]
+
+
+def test_files_are_parsed_once_by_many_tasks(spark, sf_dir):
+    from skarn.plans import parity
+
+    files = parity._sources(spark, sf_dir)
+    assert files.rdd.getNumPartitions() > 1  # the table has one row group
+    plan = graph.nodes_of(graph.extract(files))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan
