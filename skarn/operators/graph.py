@@ -139,35 +139,96 @@ def _class_lookup(asked: DataFrame, classes: DataFrame, imports: DataFrame, name
     a full name, else the only class of the language with that last name.
     """
     known = classes.select("lang", "fqn", "class")
-    stages = [("ns", C.full_name("ns", name)), ("own", F.col(name))]
-    rows = asked.join(imports.filter("fqn IS NOT NULL").groupBy("repo", "path", F.col("callee").alias(name)).agg(F.max("fqn").alias("__imported")), ["repo", "path", name], "left")
-    for stage, key in [("imported", F.col("__imported")), *stages]:
+    imported = imports.filter("fqn IS NOT NULL").groupBy("repo", "path", F.col("callee").alias(name)).agg(F.max("fqn").alias("fqn"))
+    rows = asked.join(imported.join(known.withColumnRenamed("class", "__imported_class"), "fqn").drop("fqn"), ["repo", "path", "lang", name], "left")
+    for stage, key in [("ns", C.full_name("ns", name)), ("own", F.col(name))]:
         rows = rows.withColumn("fqn", key).join(known.withColumnRenamed("class", f"__{stage}_class"), ["lang", "fqn"], "left").drop("fqn")
     last = _only(classes.withColumn("last", F.regexp_extract("fqn", r"([^.\\\\]*)$", 1)), ["lang", "last"], "class").select("lang", F.col("last").alias(name), F.col("class").alias("__last_class"))
     rows = rows.join(last, ["lang", name], "left")
-    return rows.withColumn(out, F.coalesce("__imported_class", "__ns_class", "__own_class", "__last_class")).drop("__imported", "__imported_class", "__ns_class", "__own_class", "__last_class")
+    return rows.withColumn(out, F.coalesce("__imported_class", "__ns_class", "__own_class", "__last_class")).drop("__imported_class", "__ns_class", "__own_class", "__last_class")
 
 
 def _imports(facts: DataFrame) -> DataFrame:
     return facts.filter("fact = 'import'").select("repo", "path", F.col("alias").alias("callee"), F.col("name").alias("original"), F.regexp_replace("rel", "^/+", "").alias("rel"), "fqn")
 
 
-def ancestors(nodes: DataFrame, imports: DataFrame) -> DataFrame:
-    """(class, ancestor, order): each class itself and all classes above it, depth first.
-
-    `order` sorts like a depth-first walk; a path never comes back to a class on it, so it ends.
-    """
-    classes = keep(_classes(nodes), "graph-classes")
+def bases_of(classes: DataFrame, imports: DataFrame) -> DataFrame:
+    """(class, pos, above): the classes right above each class, in the order it names them."""
     bases = classes.select("class", "repo", "path", "ns", "lang", F.posexplode("bases").alias("pos", "base"))
-    up = keep(_class_lookup(bases, classes, imports, "base", "above").select("class", "pos", "above").filter("above IS NOT NULL"), "graph-bases")
-    out = classes.select("class", F.col("class").alias("ancestor"), F.array().cast("array<int>").alias("order"), F.array("class").alias("path"))
-    front = out
+    return _class_lookup(bases, classes, imports, "base", "above").select("class", "pos", "above").filter("above <> class")
+
+
+def _walked(asked: DataFrame, methods: DataFrame, up: DataFrame) -> DataFrame:
+    """first_methods() by all paths above each class asked, for hierarchies that come back to themselves."""
+    above = front = asked.select("class").distinct().select("class", F.col("class").alias("ancestor"), F.array().cast("array<int>").alias("order"), F.array("class").alias("path"))
     while True:
         step = front.alias("f").join(up.withColumnRenamed("class", "at"), F.col("f.ancestor") == F.col("at")).filter(~F.array_contains("path", F.col("above")))
         front = keep(step.select("f.class", F.col("above").alias("ancestor"), F.concat("order", F.array("pos")).alias("order"), F.concat("path", F.array("above")).alias("path")), "graph-up")
         if front.isEmpty():
-            return out.drop("path")
-        out = out.unionByName(front)
+            break
+        above = above.unionByName(front)
+    reach = asked.select("class", "callee").distinct().join(above.drop("path"), "class").join(methods.withColumnRenamed("class", "ancestor"), ["ancestor", "callee"])
+    return reach.groupBy("class", "callee").agg(F.min_by("dst", "order").alias("dst"), F.min_by("dst", F.when(F.size("order") > 0, F.col("order"))).alias("parent_dst"))
+
+
+def _decided(asked: DataFrame, methods: DataFrame, up: DataFrame) -> DataFrame:
+    """(class, callee, dst, todo): the method that a callee means in each class asked and in those above that matter.
+
+    First the asked are followed up to where a class has the method, each class and callee once. Then rounds settle
+    them: one without a method of its own takes that of the first above that has any, and one with a single class
+    above skips to what is above that, so a chain of n classes takes log n rounds. What no round can settle,
+    since its classes come back to themselves, keeps a `todo`; for the rest that is empty and dst null if there is none.
+    """
+    key, none = ["class", "callee"], F.array().cast("array<struct<pos:int,above:string>>")
+    new = keep(asked.select(*key).distinct().join(methods, key, "left"), "graph-asked")
+    every = new
+    while True:
+        higher = new.filter("dst IS NULL").join(up, "class").select(F.col("above").alias("class"), "callee").distinct()
+        new = keep(higher.join(every.select(*key), key, "left_anti").join(methods, key, "left"), "graph-asked")
+        if new.isEmpty():
+            break
+        every = every.unionByName(new)
+    todo = up.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("pos", "above"))).alias("todo"))
+    open_ = keep(every.filter("dst IS NULL").join(todo, "class", "left").withColumn("todo", F.coalesce("todo", none)), "graph-open")
+    settled = every.filter("dst IS NOT NULL").withColumn("todo", none).unionByName(open_.filter("size(todo) = 0"))
+    open_ = open_.filter("size(todo) > 0")
+    left = open_.count()
+    while left:
+        only = F.when(F.size("todo") == 1, F.col("todo")[0]["above"])
+        found = settled.select("class", "callee", "dst", F.lit(True).alias("done"), F.lit(None).cast("string").alias("next")).unionByName(open_.select("class", "callee", "dst", F.lit(False).alias("done"), only.alias("next")))
+        asks = open_.select("class", "callee", F.inline("todo"))
+        seen = asks.join(found.withColumnRenamed("class", "above").withColumnRenamed("dst", "to"), ["above", "callee"])
+        entry = F.when(~F.col("done") | F.col("to").isNotNull(), F.struct("pos", F.coalesce("next", "above").alias("above"), "to"))
+        rows = seen.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("all")).withColumn("dst", F.get("all", F.lit(0))["to"])
+        step = keep(rows.select(*key, "dst", F.when(F.col("dst").isNotNull(), none).otherwise(F.transform("all", lambda x: F.struct(x["pos"].alias("pos"), x["above"].alias("above")))).alias("todo")), "graph-open")
+        settled = settled.unionByName(step.filter("size(todo) = 0"))
+        open_, before = step.filter("size(todo) > 0"), left
+        left = open_.count()
+        if left == before:  # without a way back to itself, at least one would have been settled
+            break
+    return settled.unionByName(open_)
+
+
+def first_methods(asked: DataFrame, methods: DataFrame, up: DataFrame) -> DataFrame:
+    """(class, callee, dst, parent_dst) for asked (class, callee, parent): the first of `methods` (class, callee, dst)
+    on a depth-first walk of `up` (class, pos, above), from the class and, if `parent`, from the classes above it.
+
+    A path never comes back to a class on it, so it ends. Only what is asked is looked up, and a class that many inherit from once.
+    """
+    key = ["class", "callee"]
+    asked = asked.groupBy(*key).agg(F.max("parent").alias("parent"))
+    up = up.filter("above <> class")
+    over = asked.filter("parent").join(up, "class").select("class", "callee", "pos", "above")
+    got = keep(_decided(asked.select(*key).unionByName(over.select(F.col("above").alias("class"), "callee")), methods, up), "graph-decided")
+    state = got.select(*key, "dst", (F.size("todo") > 0).alias("open"))
+    above = over.join(state.withColumnRenamed("class", "above").withColumnRenamed("dst", "to"), ["above", "callee"])
+    above = above.groupBy(*key).agg(F.min_by(F.struct("to", "open"), F.when(F.col("open") | F.col("to").isNotNull(), F.col("pos"))).alias("p"))
+    rows = asked.join(state, key).join(above, key, "left").select(*key, "dst", F.col("p.to").alias("parent_dst"), (F.col("open") | F.coalesce(F.col("p.open") | (F.col("p.to") == F.col("dst")), F.lit(False))).alias("open"))
+    rows = keep(rows, "graph-first")  # open: undecided, or a class above came back to the method of the class itself
+    again = rows.filter("open").select(*key)
+    if again.isEmpty():
+        return rows.drop("open")
+    return rows.filter("NOT open").drop("open").unionByName(_walked(again, methods, up))
 
 
 def resolve(facts: DataFrame, fanout: int = MAX_FANOUT, frequency: int = MAX_FREQUENCY) -> tuple[DataFrame, DataFrame]:
@@ -184,20 +245,24 @@ def resolve(facts: DataFrame, fanout: int = MAX_FANOUT, frequency: int = MAX_FRE
     calls = keep(calls.filter("src IS NOT NULL").withColumn("call", F.monotonically_increasing_id()), "graph-calls")
     methods = nodes.filter("kind IN ('method', 'function') AND contains(qname, '.')").select("repo", "path", F.expr("left(qname, length(qname) - length(name) - 1)").alias("class_q"), F.col("name").alias("callee"), F.col("id").alias("dst"))
     imports = _imports(facts)
-    above = keep(ancestors(nodes, imports), "graph-ancestors")
-    classes = above.filter("size(order) = 0").select(F.col("class").alias("id"))
+    tops = keep(_classes(nodes), "graph-classes")
+    up = keep(bases_of(tops, imports), "graph-bases")
+    classes = tops.select(F.col("class").alias("id"))
     own_class = nodes.filter(F.col("kind").isin(*braces.CLASS_KINDS)).select("repo", "path", F.col("qname").alias("class_q"), "lang", "fqn").dropDuplicates(["repo", "path", "class_q"])
     kept = nodes.join(classes, "id", "left_semi").select("id", "repo", "path", "lang", "fqn", "ns", "name", "qname")
     class_id = own_class.join(kept.select("lang", "fqn", F.col("id").alias("cls")), ["lang", "fqn"]).select("repo", "path", "class_q", "cls")
     methods = methods.join(kept.select("repo", "path", F.col("qname").alias("class_q"), F.col("id").alias("cls")), ["repo", "path", "class_q"]).groupBy("cls", "callee").agg(F.max("dst").alias("dst"))
-    reach = above.join(methods, F.col("ancestor") == F.col("cls")).select("class", "callee", "dst", "order")
-    first = reach.groupBy("class", "callee").agg(F.min_by("dst", "order").alias("dst"), F.min_by("dst", F.when(F.size("order") > 0, F.col("order"))).alias("parent_dst"))
+    methods = keep(methods.withColumnRenamed("cls", "class"), "graph-methods")
     mine = calls.filter("rkind IN ('this', 'self', 'parent') AND class <> ''").join(class_id.withColumnRenamed("class_q", "class_name"), (calls["repo"] == class_id["repo"]) & (calls["path"] == class_id["path"]) & (calls["class"] == F.col("class_name"))).select("call", "src", "rkind", calls["callee"], F.col("cls").alias("class"))
+    mine = keep(mine, "graph-mine")
+    made = _class_lookup(calls.filter("rkind IN ('static', 'new') AND rclass <> ''").drop("class"), kept.withColumnRenamed("id", "class"), imports, "rclass", "class").filter("class IS NOT NULL")
+    made = keep(made.withColumn("callee", F.when(F.col("rkind") == "new", "__construct").otherwise(F.col("callee"))).select("call", "src", "rkind", "callee", "class"), "graph-made")
+    asked = mine.select("class", "callee", (F.col("rkind") == "parent").alias("parent")).unionByName(made.select("class", "callee", F.lit(False).alias("parent")))
+    first = first_methods(asked, methods, up)
     mine = mine.join(first, ["class", "callee"]).withColumn("to", F.when(F.col("rkind") == "parent", F.col("parent_dst")).otherwise(F.col("dst")))
     steps = [mine.filter("to IS NOT NULL AND to <> src").select("call", "src", F.col("to").alias("dst"), F.lit(1).alias("step"), F.lit(HIERARCHY).alias("conf"))]
     real = nodes.filter("kind <> 'module'")
-    made = _class_lookup(calls.filter("rkind IN ('static', 'new') AND rclass <> ''").drop("class"), kept.withColumnRenamed("id", "class"), imports, "rclass", "class").filter("class IS NOT NULL")
-    made = made.withColumn("wanted", F.when(F.col("rkind") == "new", "__construct").otherwise(F.col("callee"))).drop("callee").join(first.select("class", F.col("callee").alias("wanted"), F.col("dst").alias("method")), ["class", "wanted"], "left")
+    made = made.join(first.select("class", "callee", F.col("dst").alias("method")), ["class", "callee"], "left")
     made = made.withColumn("dst", F.coalesce("method", F.when(F.col("rkind") == "new", F.col("class"))))
     steps.append(made.filter("dst IS NOT NULL AND dst <> src").select("call", "src", "dst", F.lit(3).alias("step"), F.lit(STATIC).alias("conf")))
     free = calls.filter("rkind = 'free'")

@@ -265,6 +265,19 @@ def test_closure_and_hierarchy_go_to_the_end(spark):
     assert [(e.conf, e.dst) for e in graph.resolve(graph.extract(files))[1].collect()] == [(0.95, "r/a.py:2:A0.up")]
 
 
+def counted(monkeypatch):
+    """(name, rows) of each table that graph keeps from now on."""
+    kept, keep = [], graph.keep
+
+    def count(df, name):
+        out = keep(df, name)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "keep", count)
+    return kept
+
+
 def test_files_are_parsed_once_by_many_tasks(spark, sf_dir):
     from skarn.plans import parity
 
@@ -272,3 +285,43 @@ def test_files_are_parsed_once_by_many_tasks(spark, sf_dir):
     assert files.rdd.getNumPartitions() > 1  # the table has one row group
     plan = graph.nodes_of(graph.extract(files))._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
+def test_a_deep_hierarchy_is_climbed_in_few_steps_and_rows(spark, monkeypatch):
+    n = 40
+    text = "class A0:\n    def up(self): pass\n" + "".join(f"class A{i}(A{i - 1}):\n    def m{i}(self):\n        self.up()\n" for i in range(1, n))
+    kept = counted(monkeypatch)
+    _, _, got = built(spark, {"a.py": text})
+    assert got == {(f"A{i}.m{i}", "A0.up"): 0.95 for i in range(1, n)}
+    assert len(kept) <= 25 and sum(rows for _, rows in kept) <= 20 * n  # a row for each class and each above it would be n * n / 2, in n tables
+
+
+def test_first_methods_equal_a_depth_first_walk(spark):
+    """Several classes above one, diamonds, and classes that come back to themselves."""
+    import random
+
+    rng = random.Random(5)
+    up, methods, asked = [], {}, []
+    for world in range(30):
+        n, loops = rng.randint(3, 8), world % 3 == 0
+        name = lambda i, w=world: f"w{w}c{i}"
+        for i in range(n):
+            above = rng.sample(range(n) if loops else range(i), min(rng.randint(0, 3), n if loops else i))
+            up += [(name(i), pos, name(a)) for pos, a in enumerate(above)]
+            methods |= {(name(i), m): f"{name(i)}.{m}" for m in "xy" if rng.random() < 0.2}
+            asked += [(name(i), m, rng.random() < 0.5) for m in "xy" if rng.random() < 0.8]
+    over = {}
+    for c, _, a in sorted(up):
+        over.setdefault(c, []).append(a)
+
+    def walk(c, m, path, parent=False):
+        if not parent and (c, m) in methods:
+            return methods[c, m]
+        return next((got for a in over.get(c, []) if a not in path and (got := walk(a, m, [*path, a]))), None)
+
+    frames = spark.createDataFrame(asked, "class string, callee string, parent boolean"), spark.createDataFrame([(*k, v) for k, v in methods.items()], "class string, callee string, dst string")
+    rows = graph.first_methods(*frames, spark.createDataFrame(up, "class string, pos int, above string")).collect()
+    got = {(r["class"], r.callee): r for r in rows}
+    for c, m, parent in asked:
+        r = got.get((c, m))
+        assert (r and r.dst) == walk(c, m, [c]) and (not parent or (r and r.parent_dst) == walk(c, m, [c], True)), (c, m)
