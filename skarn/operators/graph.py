@@ -5,15 +5,16 @@ from __future__ import annotations
 import ast
 import posixpath
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.functions import columns as C
 from skarn.operators import braces
-from skarn.plans.scratch import discard, keep
+from skarn.plans.scratch import keep
 
 MODULE = "<module>"
 HIERARCHY, STATIC, IMPORTED, LOCAL, UNIQUE, MEMBER, AMBIGUOUS = 0.95, 0.90, 0.95, 0.90, 0.75, 0.60, 0.35
@@ -303,26 +304,39 @@ def fan_in(edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, digits: int | None = 7) -> DataFrame:
     """(id, centrality) after exactly `iterations` steps; edges weigh by confidence over their source's sum.
 
-    A step is one join, one aggregate and one write of the ranks, so that lineage stays short and
-    lost executors do no harm. The mass of nodes without outgoing edges is spread evenly over all.
+    A step adds the same base to each node (its mass of nodes without outgoing edges is spread evenly over all) and
+    moves ranks along the edges. So the rank is a sum over k of an even rank moved k steps, times a factor that only the
+    bases make. These parts are kept, each with the nodes it reaches; one join with the edges makes the next, and once
+    no node with outgoing edges is reached, all later parts are zero and no edge is read for them.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id").withColumn("centrality", F.lit(0.0))
     sums = edges.groupBy("src").agg(F.sum("conf").alias("total"))  # combined before the shuffle, so that a hub isn't one task's
-    known = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(sums, "src")
-    out = keep(known.select("src", "dst", (F.col("conf") / F.col("total")).alias("weight")).repartition("src").sortWithinPartitions("src"), "rank-edges")
+    known = edges.join(sums.join(nodes.select(F.col("id").alias("src")), "src", "left_semi"), "src")
+    out = keep(known.select("src", "dst", (F.col("conf") / F.col("total")).alias("weight")), "rank-edges")  # one job, so that both readers of the edges share their shuffle
     sources = out.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(1))
     ids = keep(nodes.select("id").distinct().join(sources, "id", "left"), "rank-nodes")
-    rank, dangling = ids.select("id", "out", F.lit(1.0 / n).alias("r")), ids.filter("out IS NULL").count() / n
-    for _ in range(iterations):
-        moved = rank.join(out, rank["id"] == out["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("weight")).alias("in"))
-        base = (1 - damping) / n + damping * dangling / n
-        seen = Observation()  # the mass of the nodes without edges comes with the write, without a job of its own
-        step = ids.join(moved, "id", "left").select("id", "out", (F.lit(base) + damping * F.coalesce("in", F.lit(0.0))).alias("r"))
-        last, rank = rank, keep(step.observe(seen, F.sum(F.when(F.col("out").isNull(), F.col("r"))).alias("dangling")), "rank")
-        dangling = seen.get["dangling"] or 0.0
-        discard(last)
+    parts, loose = [], [float(ids.filter("out IS NULL").count())]  # loose: of each part, the mass on nodes without outgoing edges
+    moved = out.select(F.col("dst").alias("id"), F.col("weight").alias("v"))
+    while len(parts) < iterations:
+        part = keep(moved.groupBy("id").agg(F.sum("v").alias("v")).filter("v IS NOT NULL").join(ids, "id"), "rank")
+        parts.append(part)
+        mass = part.agg(F.sum(F.when(F.col("out").isNull(), F.col("v"))).alias("loose"), F.count("out").alias("front")).first()
+        loose.append(mass["loose"] or 0.0)
+        if not mass["front"]:
+            break
+        front = part.filter("out IS NOT NULL").select(F.col("id").alias("src"), "v")
+        moved = out.join(front, "src").select(F.col("dst").alias("id"), (F.col("v") * F.col("weight")).alias("v"))
+    start, bases = 1.0 / n, []
+    for t in range(iterations):  # bases[t]: what step t + 1 adds to each node
+        dangling = sum(bases[t - 1 - k] * damping**k * loose[k] for k in range(min(t, len(loose)))) + (start * damping**t * loose[t] if t < len(loose) else 0.0)
+        bases.append((1 - damping) / n + damping * dangling / n)
+    factor = [*(bases[iterations - 1 - k] * damping**k for k in range(iterations)), start * damping**iterations]
+    rank = ids.select("id", F.lit(factor[0]).alias("r"))
+    if parts:
+        gains = reduce(DataFrame.unionByName, [p.select("id", (F.col("v") * factor[k]).alias("r")) for k, p in enumerate(parts, 1)])
+        rank = ids.join(gains.groupBy("id").agg(F.sum("r").alias("r")), "id", "left").select("id", (F.lit(factor[0]) + F.coalesce("r", F.lit(0.0))).alias("r"))
     return rank.select("id", (F.round("r", digits) if digits is not None else F.col("r")).alias("centrality"))
 
 

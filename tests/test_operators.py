@@ -325,3 +325,25 @@ def test_first_methods_equal_a_depth_first_walk(spark):
     for c, m, parent in asked:
         r = got.get((c, m))
         assert (r and r.dst) == walk(c, m, [c]) and (not parent or (r and r.parent_dst) == walk(c, m, [c], True)), (c, m)
+
+
+def ranked(ids, raw, iterations):
+    rank, out = {i: 1 / len(ids) for i in ids}, {i: sum(c for s, _, c in raw if s == i) for i in ids}
+    for _ in range(iterations):
+        loose = sum(rank[i] for i in ids if not out[i])
+        rank = {i: 0.15 / len(ids) + 0.85 * (loose / len(ids) + sum(rank[s] * c / out[s] for s, t, c in raw if t == i and s in rank)) for i in ids}
+    return rank
+
+
+def test_pagerank_moves_only_what_moves(spark, monkeypatch):
+    """Twenty steps over customers and parts are one pass over the edges; over a graph with loops, few steps and many are as plain loops have them."""
+    frames = lambda ids, raw: (spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(raw, "src string, dst string, conf double"))
+    same = lambda got, want: {r.id: round(r.centrality, 12) for r in got.collect()} == {i: round(v, 12) for i, v in want.items()}
+    kept = counted(monkeypatch)
+    ids = [*(f"c{i}" for i in range(6)), *(f"p{i}" for i in range(5))]
+    raw = [(f"c{i}", f"p{j}", (i + j) / 10) for i in range(5) for j in range(4) if (i + j) % 3]
+    assert same(graph.pagerank(*frames(ids, raw), digits=None), ranked(ids, raw, 20))
+    assert [name for name, _ in kept].count("rank") == 1
+    loops = [*raw, ("p0", "c5", 0.3), ("c5", "p0", 0.8), ("p1", "c1", 0.5), ("p1", "elsewhere", 0.5), ("elsewhere", "c1", 0.5)]
+    for iterations in (0, 1, 2, 7):
+        assert same(graph.pagerank(*frames(ids, loops), iterations=iterations, digits=None), ranked(ids, loops, iterations)), iterations
